@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadlens.llm.common import table
 
@@ -31,6 +32,15 @@ FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.languages import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = fit(docs.where(~held_out))
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadlens.llm.chats import events_of, format_chats, read_back
 
@@ -48,6 +58,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
+    "op2_language_id": op2_language_id,
     "op3_chat_formatting": op3_chat_formatting,
     "op6_secret_scan": op6_secret_scan,
 }

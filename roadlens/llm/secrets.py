@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,7 +134,6 @@ def _redacted(text: str | None, allow: re.Pattern, mask: str) -> str | None:
 
 def redacted(text: Column, allow: tuple[str, ...] = (), mask: str = "<SECRET>") -> Column:
     """The text with every span replaced by mask, overlapping spans by one; null stays null."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
