@@ -190,7 +190,6 @@ def _candidates(reps: DataFrame, floor: float, region: int) -> list[DataFrame]:
     def key(t, depth):
         return F.xxhash64(t, F.substring(twice, t * (4 * STEP_VALUES) + 1, F.lit(4 * depth)))
 
-    sig1 = F.lit(None)
     found: list[DataFrame] = []
     spots = reps.select("id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"), "sig")
     keys = spots.select("id", "t", key(F.col("t"), DEPTHS[0]).alias("key"))
@@ -227,6 +226,18 @@ def _candidates(reps: DataFrame, floor: float, region: int) -> list[DataFrame]:
     return found
 
 
+FILTER_WORDS = 1 << 18  # of 64 bits: the bound of what _only() broadcasts, 4 MB
+
+
+def _only(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """rows whose id is in need(id), and a few more: a bitmap of hashed ids, of a fixed size
+    whatever the input, is broadcast so that most other rows drop out before any shuffle."""
+    spot = f"pmod(xxhash64(id), {FILTER_WORDS * 64}L)"
+    word, bit = F.expr(f"shiftright({spot}, 6)"), F.expr(f"shiftleft(1L, int({spot} % 64))")
+    bitmap = need.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return rows.join(F.broadcast(bitmap), (word == bitmap["word"]) & (bitmap["bits"].bitwiseAND(bit) != 0), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text). percent: the
     similarity, in hundredths, from which documents are linked. region: the rows that one task
@@ -244,11 +255,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int
         pairs = pairs.union(more)
     pairs = cut(pairs.distinct(), "pairs")
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = cut(slim.withColumnRenamed("doc_id", "id").join(need, "id").dropDuplicates(["id", "text"]), "texts")
+    need = cut(need, "need")
+    some_docs = _only(slim.withColumnRenamed("doc_id", "id"), need)
+    texts = cut(some_docs.join(need, "id").dropDuplicates(["id", "text"]), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "u long, v long")
     comp = components(links, "near")
-    forget(texts, pairs)
+    forget(texts, need, pairs)
     joined = classes.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"), "n", F.col("component").isNotNull().alias("linked"))
     joined = joined.where("n > 1 or linked").drop("n", "linked")
     out = sketch.drop("sig").join(joined, ["h1", "h2", "n_shingles"], "left")

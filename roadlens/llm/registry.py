@@ -56,11 +56,48 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.packing import best_fit, byte_lengths
+
+    return best_fit(byte_lengths(table(spark, sf_dir, "documents")))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.common import scratch_path
+    from roadlens.llm.token_files import read, write
+
+    path = scratch_path(spark, "token-files")
+    write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
+    return read(spark, path)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.pieces import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_language_id": op2_language_id,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_token_files": op4_token_files,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_secret_scan": op6_secret_scan,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
 }
 ORACLES = {"op1_minhash_forest": OP1_SQL}
 

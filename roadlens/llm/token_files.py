@@ -56,7 +56,8 @@ class Encoder:
         self.tok = _tokenizer(path)
         with open(path, encoding="utf-8") as f:
             self.added = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # of chunks after a space, without it
+        self.heads: dict[str, bytes] = {}  # of texts' first chunks
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,16 +70,15 @@ class Encoder:
                 split[k] = [texts[k]]
             elif len(parts) > 1 and (not all(parts) or any(map(str.isspace, [p[0] for p in parts]))):
                 split[k] = _rejoin(parts)
-        for parts in split:
-            parts[0] = "\0" + parts[0]  # no leading space
-        wanted = set(chain.from_iterable(split))
-        cache = self.cache
-        new = list(wanted - cache.keys())
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
-            new = list(wanted)
-        cache.update(zip(new, self._encode([w[1:] if w[0] == "\0" else " " + w for w in new])))
-        return [b"".join(map(cache.__getitem__, parts)) for parts in split]
+        first, rest = {p[0] for p in split}, set(chain.from_iterable(p[1:] for p in split))
+        if len(self.cache) + len(rest) > CACHED:
+            self.cache, self.heads = {}, {}
+        cache, heads = self.cache, self.heads
+        new, new_heads = list(rest - cache.keys()), list(first - heads.keys())
+        coded = self._encode([*(" " + w for w in new), *new_heads])
+        cache.update(zip(new, coded))
+        heads.update(zip(new_heads, coded[len(new) :]))
+        return [heads[p[0]] + b"".join(map(cache.__getitem__, p[1:])) for p in split]
 
 
 def _rejoin(parts: list[str]) -> list[str]:
