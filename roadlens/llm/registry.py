@@ -89,6 +89,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_language_id": op2_language_id,
@@ -98,6 +104,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 ORACLES = {"op1_minhash_forest": OP1_SQL}
 
