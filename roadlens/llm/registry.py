@@ -95,6 +95,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.neighbours import nearest
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_language_id": op2_language_id,
@@ -105,6 +112,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 ORACLES = {"op1_minhash_forest": OP1_SQL}
 
