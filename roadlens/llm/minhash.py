@@ -226,16 +226,17 @@ def _candidates(reps: DataFrame, floor: float, region: int) -> list[DataFrame]:
     return found
 
 
-FILTER_WORDS = 1 << 18  # of 64 bits: the bound of what _only() broadcasts, 4 MB
+FILTER_WORDS = 1 << 18  # of 64 bits: the bound of what by_bitmap() broadcasts, 4 MB
 
 
-def _only(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """rows whose id is in need(id), and a few more: a bitmap of hashed ids, of a fixed size
-    whatever the input, is broadcast so that most other rows drop out before any shuffle."""
+def by_bitmap(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """how left_semi: the rows whose id is in ids(id), and a few more; left_anti: only rows whose id
+    is not in it, nearly all of them. A bitmap of hashed ids, of a fixed size whatever the input, is
+    broadcast, so that rows are told apart before any shuffle."""
     spot = f"pmod(xxhash64(id), {FILTER_WORDS * 64}L)"
     word, bit = F.expr(f"shiftright({spot}, 6)"), F.expr(f"shiftleft(1L, int({spot} % 64))")
-    bitmap = need.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return rows.join(F.broadcast(bitmap), (word == bitmap["word"]) & (bitmap["bits"].bitwiseAND(bit) != 0), "left_semi")
+    bitmap = ids.where("id is not null").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return rows.join(F.broadcast(bitmap), (word == bitmap["word"]) & (bitmap["bits"].bitwiseAND(bit) != 0), how)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION) -> DataFrame:
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int
     pairs = cut(pairs.distinct(), "pairs")
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     need = cut(need, "need")
-    some_docs = _only(slim.withColumnRenamed("doc_id", "id"), need)
+    some_docs = by_bitmap(slim.withColumnRenamed("doc_id", "id"), need, "left_semi")
     texts = cut(some_docs.join(need, "id").dropDuplicates(["id", "text"]), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "u long, v long")
@@ -268,3 +269,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int
     comp_id = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     comp_id = F.when(F.col("doc_id").isNotNull(), comp_id)
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group, that of the smallest doc_id, and all their columns.
+    Rows that repeat a doc_id are one document; rows without one stay."""
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    judged = near_duplicates(docs, k, percent)
+    gone = cut(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")), "gone")
+    rows = docs.withColumn("id", F.col("doc_id").cast("long"))
+    certain = by_bitmap(rows, gone, "left_anti")
+    others = by_bitmap(rows, gone, "left_semi").join(gone, "id", "left_anti")
+    return certain.unionByName(others).select(*docs.columns)
