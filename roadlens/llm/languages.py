@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -40,53 +39,59 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-@dataclass
 class Model:
-    """Log frequencies by language. Vectors are in order of `languages`."""
+    """Evidence by language: `words` and `grams` map an item to its vector, in order of `languages`.
 
-    languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    Vectors lie in one table, so that a text costs a dictionary look-up per distinct word and one
+    product; words met for the first time are scored once and kept, CACHED of them at most."""
+
+    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+        self.languages, self.words, self.grams = languages, words, grams
+        self.gram_row = {g: i for i, g in enumerate(grams)}
+        self.gram_table = np.array(list(grams.values())).reshape(len(grams), len(languages))
+        self._reset()
 
     def __getstate__(self):
         return self.languages, self.words, self.grams
 
     def __setstate__(self, state):
-        self.languages, self.words, self.grams = state
-        self.cache = {}
+        self.__init__(*state)
+
+    def _reset(self) -> None:
+        self.table = np.zeros((len(self.words) + CACHED, len(self.languages)))
+        self.row = {w: i for i, w in enumerate(self.words)}
+        if self.words:
+            self.table[: len(self.words)] = list(self.words.values())
 
     def word_score(self, word: str) -> np.ndarray:
+        """The vector of a word: its own, or the mean of its longest known n-grams."""
         got = self.words.get(word)
         if got is not None:
             return got
-        got = self.cache.get(word)
-        if got is None:
-            got = np.zeros(len(self.languages))
-            for n in LENGTHS:
-                known = [v for g in grams(word[:64], n) if (v := self.grams.get(g)) is not None]
-                if known:
-                    got = np.mean(known, axis=0)
-                    break
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
+        for n in LENGTHS:
+            known = [i for g in grams(word[:64], n) if (i := self.gram_row.get(g)) is not None]
+            if known:
+                return self.gram_table[known].sum(axis=0) / len(known)
+        return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         seen = Counter(_WORD.findall(text.lower())) if text else None
         if not seen or not self.languages:
             return UNKNOWN, 0.0
-        n = sum(seen.values())
-        total = np.zeros(len(self.languages))
-        get, score = self.words.get, self.word_score
-        vectors = []
-        for w in seen:
-            v = get(w)
-            vectors.append(v if v is not None else score(w))
-        total = np.fromiter(seen.values(), np.float64, len(seen)) @ np.array(vectors)
+        new = [w for w in seen if w not in self.row]
+        if len(self.row) + len(new) > len(self.table):
+            self._reset()
+            new = [w for w in seen if w not in self.row]
+        if len(self.row) + len(new) > len(self.table):  # one text of more words than are kept
+            total = sum(n * self.word_score(w) for w, n in seen.items())
+        else:
+            for w in new:
+                self.table[len(self.row)] = self.word_score(w)
+                self.row[w] = len(self.row)
+            at = np.fromiter(map(self.row.__getitem__, seen), np.int64, len(seen))
+            total = np.fromiter(seen.values(), np.float64, len(seen)) @ self.table[at]
         best = int(total.argmax())
-        odds = (total - total[best]) * min(1.0, TEMPER / n)
+        odds = (total - total[best]) * min(1.0, TEMPER / sum(seen.values()))
         return self.languages[best], float(1 / np.exp(odds).sum())
 
 
