@@ -76,14 +76,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_piece(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray):
+def _hash_piece(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray, fold: np.ndarray = LOWER):
     """Hashes, start offsets and end offsets of the words of one buffer. starts: where documents
-    begin. gaps: by lower-cased byte, whether it separates words."""
+    begin. fold: what stands for each byte. gaps: by folded byte, whether it separates words."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z
-    low = LOWER[data]
+    low = fold[data]
     inside = ~gaps[low]
     brk = np.zeros(n + 1, bool)
     brk[starts[starts < n]] = True
@@ -126,13 +126,13 @@ def documents_in_pieces(off: np.ndarray, most: int = PIECE):
         i = j
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACES):
+def word_hashes(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACES, fold: np.ndarray = LOWER):
     """For every document: its words' 64-bit hashes. Yields (document index, hashes, starts, ends)
     with byte offsets from the document's start. A document longer than a piece is cut at gaps."""
     for i, j in documents_in_pieces(off):
         lo, hi = int(off[i]), int(off[j])
         if j - i > 1 or hi - lo <= 2 * PIECE:
-            h, s, e = _hash_piece(data[lo:hi], off[i:j] - lo, gaps)
+            h, s, e = _hash_piece(data[lo:hi], off[i:j] - lo, gaps, fold)
             at = np.searchsorted(s, off[i : j + 1] - lo)
             for k in range(i, j):
                 a, b = at[k - i], at[k - i + 1]
@@ -143,14 +143,14 @@ def word_hashes(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACES):
         while x < hi:
             y = min(hi, x + PIECE)
             if y < hi:
-                inside = np.flatnonzero(gaps[LOWER[data[x:y]]])
+                inside = np.flatnonzero(gaps[fold[data[x:y]]])
                 while not len(inside) and y < hi:  # one word longer than a piece
                     z = min(hi, y + PIECE)
-                    more = np.flatnonzero(gaps[LOWER[data[y:z]]])
+                    more = np.flatnonzero(gaps[fold[data[y:z]]])
                     inside, y = (more + (y - x), z) if len(more) else (more, z)
                 if y < hi or len(inside):
                     y = x + int(inside[-1]) + 1 if len(inside) else y
-            h, s, e = _hash_piece(data[x:y], np.zeros(1, np.int64), gaps)
+            h, s, e = _hash_piece(data[x:y], np.zeros(1, np.int64), gaps, fold)
             parts.append((h, s + (x - lo), e + (x - lo)))
             x = y
         yield i, *(np.concatenate([p[q] for p in parts]) for q in range(3))

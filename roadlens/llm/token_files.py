@@ -19,18 +19,20 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlens.llm.common import text_buffers, word_hashes
+
 SHARD = 1 << 19
 ROUNDS = 4
 LEAST = 16  # occurrences from which a pair gets a rule
 PER_ROUND = 3500
-CACHED = 400_000
+BUCKETS = 18  # bits
+SLOTS = 1 << 21  # of the table of chunks; half of them are filled at most
 
 
 @lru_cache(maxsize=2)
@@ -43,55 +45,152 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[32] = True
+_SAME = np.arange(256, dtype=np.uint8)
+_HEAD = np.uint64(0x5851F42D4C957F2D)
+
+
+def _opens_with_white_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether UTF-8 text at these places begins with white space other than a space (some other
+    characters count, too, but none is missed)."""
+    pad = np.r_[data, np.zeros(2, np.uint8)]
+    a, b, c = pad[at], pad[at + 1], pad[at + 2]
+    one = ((a >= 9) & (a <= 13)) | ((a >= 28) & (a <= 31))
+    return one | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+
+
 class Encoder:
-    """Ids of whole texts, each distinct chunk encoded once.
+    """Ids of whole texts, each distinct chunk encoded once by the library.
 
     The pre-tokenizer's pattern always ends a token before a space that a non-space follows, so a
-    text may be cut there; chunks keep their leading space. Texts that hold an added token's string
-    or other runs of white space at a cut are encoded whole."""
+    text of words with single spaces between them falls into chunks, each with its leading space.
+    Chunks are hashed and looked up in arrays; new ones are encoded many at a time, joined, and told
+    apart by their lengths in bytes. Texts with other white space at a cut, or with an added token's
+    string, are encoded whole."""
 
     def __init__(self, path: str):
         import json
 
         self.tok = _tokenizer(path)
         with open(path, encoding="utf-8") as f:
-            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.cache: dict[str, bytes] = {}  # of chunks after a space, without it
-        self.heads: dict[str, bytes] = {}  # of texts' first chunks
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        # only a space that a non-space follows may be a cut: other parts go back to what precedes
-        for k, parts in enumerate(split):
-            if self.added and any(a in texts[k] for a in self.added):
-                split[k] = [texts[k]]
-            elif len(parts) > 1 and (not all(parts) or any(map(str.isspace, [p[0] for p in parts]))):
-                split[k] = _rejoin(parts)
-        first, rest = {p[0] for p in split}, set(chain.from_iterable(p[1:] for p in split))
-        if len(self.cache) + len(rest) > CACHED:
-            self.cache, self.heads = {}, {}
-        cache, heads = self.cache, self.heads
-        new, new_heads = list(rest - cache.keys()), list(first - heads.keys())
-        coded = self._encode([*(" " + w for w in new), *new_heads])
-        cache.update(zip(new, coded))
-        heads.update(zip(new_heads, coded[len(new) :]))
-        return [heads[p[0]] + b"".join(map(cache.__getitem__, p[1:])) for p in split]
-
-
-def _rejoin(parts: list[str]) -> list[str]:
-    """Parts of a split at spaces, joined again wherever what follows the space is white space or
-    the end of the text."""
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out
-
+            spec = json.load(f)
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.bytes_of = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in spec["model"]["vocab"].items():
+            self.bytes_of[i] = len(token)  # one character stands for each byte
+        self._reset()
+
+    def _reset(self) -> None:
+        self.keys, self.rows = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.count, self.held = 0, 0
+        self.at, self.size = np.zeros(SLOTS // 2, np.int64), np.zeros(SLOTS // 2, np.int32)
+        self.flat = np.zeros(1 << 20, np.uint16)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for new ones."""
+        out = np.full(len(h), -1, np.int64)
+        todo, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            k = self.keys[slot]
+            same = k == h[todo]
+            out[todo[same]] = self.rows[slot[same]]
+            on = ~same & (k != 0)
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Rows for new distinct keys."""
+        n = len(h)
+        while self.held + len(ids) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint16)]
+        self.flat[self.held : self.held + len(ids)] = ids
+        self.at[self.count : self.count + n] = self.held + np.cumsum(size) - size
+        self.size[self.count : self.count + n] = size
+        todo, slot = np.arange(n), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[todo[free]]
+            mine = free & (self.keys[slot] == h[todo])
+            self.rows[slot[mine]] = self.count + todo[mine]
+            todo, slot = todo[~mine], (slot[~mine] + 1) & (SLOTS - 1)
+        self.count, self.held = self.count + n, self.held + len(ids)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and how many each has. All begin with a space."""
+        groups = [b"".join(chunks[x : x + 256]).decode() for x in range(0, len(chunks), 256)]
+        ids = np.concatenate(self._library(groups))
+        ends = np.cumsum(self.bytes_of[ids])
+        upto = np.searchsorted(ends, np.cumsum([len(c) for c in chunks])) + 1
+        return ids, np.diff(np.r_[0, upto])
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        """Ids (uint16) of each text of a buffer."""
+        out: list[np.ndarray | None] = [None] * (len(off) - 1)
+        raw = data[off[0] : off[-1]].tobytes() if len(off) else b""
+        special = any(a in raw for a in self.added)
+        regular, hs, starts, ends, whole = [], [], [], [], []
+        for d, h, s, e in word_hashes(data, off, _SPACE, _SAME):
+            a, n = int(off[d]), int(off[d + 1] - off[d])
+            if not n:
+                out[d] = np.zeros(0, np.uint16)
+            elif not len(h) or s[0] or e[-1] != n or n - int((e - s).sum()) != len(h) - 1 or special and any(x in raw[a - off[0] : a - off[0] + n] for x in self.added):
+                whole.append(d)
+            else:
+                regular.append((d, len(h)))
+                h = h.copy()
+                h[0] ^= _HEAD
+                hs.append(h)
+                starts.append(s + a)
+                ends.append(e + a)
+        if regular:
+            h, s, e = map(np.concatenate, (hs, starts, ends))
+            h = np.where(h == 0, np.uint64(1), h)
+            first = np.cumsum([0] + [n for _, n in regular])
+            odd = _opens_with_white_space(data, s)
+            odd[first[:-1]] = False
+            if odd.any():
+                bad = np.add.reduceat(odd, first[:-1]) > 0
+                whole += [d for (d, _), b in zip(regular, bad) if b]
+                keep = np.repeat(~bad, np.diff(first))
+                h, s, e = h[keep], s[keep], e[keep]
+                regular = [r for r, b in zip(regular, bad) if not b]
+                first = np.cumsum([0] + [n for _, n in regular])
+        if regular:
+            row = self._find(h)
+            if (row < 0).any():
+                heads = np.zeros(len(h), bool)
+                heads[first[:-1]] = True
+                new, where = np.unique(h[row < 0], return_index=True)
+                if self.count + len(new) > len(self.at):
+                    self._reset()
+                    row[:] = -1
+                    new, where = np.unique(h, return_index=True)
+                where = np.flatnonzero(row < 0)[where]
+                head = heads[where]
+                rest = where[~head]
+                if len(rest):
+                    ids, size = self._chunks([b" " + data[x:y].tobytes() for x, y in zip(s[rest].tolist(), e[rest].tolist())])
+                    self._add(h[rest], ids, size)
+                own = where[head]
+                if len(own):
+                    parts = self._library([data[x:y].tobytes().decode() for x, y in zip(s[own].tolist(), e[own].tolist())])
+                    self._add(h[own], np.concatenate(parts), np.array([len(p) for p in parts]))
+                row = self._find(h)
+            size = self.size[row].astype(np.int64)
+            upto = np.cumsum(size)
+            ids = self.flat[np.arange(upto[-1]) + np.repeat(self.at[row] - (upto - size), size)]
+            cut = np.r_[0, upto][first]
+            for k, (d, _) in enumerate(regular):
+                out[d] = ids[cut[k] : cut[k + 1]]
+        if whole:
+            texts = [data[off[d] : off[d + 1]].tobytes().decode() for d in whole]
+            for d, ids in zip(whole, self._library(texts)):
+                out[d] = ids
+        return out
 
 # ---------------------------------------------------------------------------------- Re-Pair
 
@@ -108,29 +207,27 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int):
         if len(seq) < 2 or top >= 65_536:
             break
         key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        inner = key[~last[:-1]]
-        if not len(inner):
-            break
-        inner = np.sort(inner)
-        at = np.flatnonzero(np.r_[True, inner[1:] != inner[:-1]])
-        times = np.diff(np.r_[at, len(inner)])
-        often = np.flatnonzero(times >= LEAST)
-        if not len(often):
+        # a bucket counts at least as much as each of its pairs, so most places drop out here
+        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS)
+        inner = ~last[:-1]
+        often = (np.bincount(bucket[inner], minlength=1 << BUCKETS) >= LEAST)[bucket] & inner
+        spots = np.flatnonzero(often)
+        some = np.sort(key[spots])
+        at = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[at, len(some)])
+        good = np.flatnonzero(times >= LEAST)
+        if not len(good):
             break
-        room = min(PER_ROUND, 65_536 - top)
-        if len(often) > room:
-            often = often[np.argsort(-times[often], kind="stable")[:room]]
-        chosen = np.sort(inner[at[often]])
-        # a small table of hashes first, as most pairs are not chosen
-        hashed = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(14)
-        maybe = np.zeros(1 << 18, bool)
-        maybe[hashed(chosen)] = True
-        spots = np.flatnonzero(maybe[hashed(key)] & ~last[:-1])
-        which = np.minimum(np.searchsorted(chosen, key[spots]), len(chosen) - 1)
+        good = good[np.argsort(-times[good], kind="stable")[: min(PER_ROUND, 65_536 - top)]]
+        chosen = some[at[good]]
+        # one pair per bucket, the most frequent; others wait for the next round
+        of = (chosen * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS)
+        chosen = np.sort(chosen[np.sort(np.unique(of, return_index=True)[1])])
+        slot = np.zeros(1 << BUCKETS, np.int64)
+        slot[(chosen * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS)] = np.arange(len(chosen))
+        which = slot[bucket[spots]]
         hit = chosen[which] == key[spots]
         spots, which = spots[hit], which[hit]
-        if not len(spots):
-            break
         # of overlapping occurrences, every second one from the left of their run
         new_run = np.r_[True, spots[1:] != spots[:-1] + 1]
         run_at = spots[np.maximum.accumulate(np.where(new_run, np.arange(len(spots)), 0))]
@@ -154,20 +251,23 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int):
     return seq, np.r_[0, sym_ends], table, np.array(length, np.uint32)
 
 
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, where, how many): what every symbol stands for. A rule only uses earlier ones."""
+    parts = [np.arange(base, dtype=np.uint16)]
+    done: list[np.ndarray] = []
+    for a, b in rules.tolist():
+        done.append(np.concatenate([done[x - base] if x >= base else parts[0][x : x + 1] for x in (a, b)]))
+    size = np.r_[np.ones(base, np.int64), np.array([len(d) for d in done], np.int64)]
+    return np.concatenate([*parts, *done]), np.cumsum(size) - size, size
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for; works on any slice of a shard's symbols."""
-    seq = symbols.astype(np.uint16)
-    while True:
-        rule = seq >= base
-        if not rule.any():
-            return seq
-        at = np.arange(len(seq)) + np.cumsum(rule) - rule
-        out = np.empty(len(seq) + int(rule.sum()), np.uint16)
-        pair = rules[seq[rule].astype(np.int64) - base]
-        out[at[~rule]] = seq[~rule]
-        out[at[rule]] = pair[:, 0]
-        out[at[rule] + 1] = pair[:, 1]
-        seq = out
+    flat, where, size = expansions(rules, base)
+    s = symbols.astype(np.int64)
+    n = size[s]
+    upto = np.cumsum(n)
+    return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(where[s] - (upto - n), n)]
 
 
 _SHARDS = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>, base int, rules binary, expansion binary, symbols binary"
@@ -180,12 +280,12 @@ def _shards(path: str, end_id: int):
         part = TaskContext.get().partitionId()
         enc = Encoder(path)
         base = enc.tok.get_vocab_size(with_added_tokens=True)
-        end = np.array([end_id], np.uint16).tobytes()
+        end = np.array([end_id], np.uint16)
         doc_ids, parts, held, start, shard = [], [], 0, 0, 0
 
         def flush():
-            lens = np.array([len(p) // 2 for p in parts], np.int64)
-            symbols, at, rules, length = compress(np.frombuffer(b"".join(parts), np.uint16), np.cumsum(lens), base)
+            lens = np.array([len(p) + 1 for p in parts[::2]], np.int64)
+            symbols, at, rules, length = compress(np.concatenate(parts), np.cumsum(lens), base)
             row = {"part": part, "shard": shard, "start": start, "n_tokens": int(lens.sum()), "doc_ids": doc_ids, "doc_tokens": lens.tolist(), "doc_symbols": at.tolist(), "base": base, "rules": rules.astype("<u2").tobytes(), "expansion": length.astype("<u4").tobytes(), "symbols": symbols.astype("<u2").tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -193,11 +293,10 @@ def _shards(path: str, end_id: int):
         for whole in batches:
             for x in range(0, whole.num_rows, 256):
                 batch = whole.slice(x, 256)
-                coded = enc.encode([t or "" for t in batch.column(1).to_pylist()])
-                for i, c in zip(batch.column(0).to_pylist(), coded):
+                for i, c in zip(batch.column(0).to_pylist(), enc.encode(*text_buffers(batch.column(1)))):
                     doc_ids.append(i)
-                    parts.append(c + end)
-                    held += len(c) // 2 + 1
+                    parts += [c, end]
+                    held += len(c) + 1
                     if held >= SHARD:
                         out = flush()
                         yield out

@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from roadlens.llm import packing, pieces, token_files
+from roadlens.llm.common import text_buffers
 
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a \n b", "\n \n", "x\t y", "it's  'll <|endoftext|> x", "日本 語 𝕏 \u0000", "\u0000 \u0000x", "▁a ▁▁ b", "▁", "a" * 500 + " " + "ab" * 300, "!" * 1000, "\u3000 a", "a \u3000b", "éé ö\r\n  z", "<s> </s> <0x41>", "   ", "thisisaverylongwordwithoutspaces" * 40]
 BYTE, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -49,7 +51,18 @@ def test_sentencepiece_digests(spark):
 def test_chunks_equal_the_library():
     enc, all_texts = token_files.Encoder(BYTE), texts()
     want = [e.ids for e in enc.tok.encode_batch(all_texts, add_special_tokens=False)]
-    assert [np.frombuffer(b, np.uint16).tolist() for b in enc.encode(all_texts)] == want
+    for _ in range(2):  # new chunks, then known ones
+        data, off = text_buffers(pa.array(all_texts))
+        assert [ids.tolist() for ids in enc.encode(data, off)] == want
+
+
+def test_more_chunks_than_are_kept(monkeypatch):
+    monkeypatch.setattr(token_files, "SLOTS", 256)
+    enc = token_files.Encoder(BYTE)
+    for k in range(6):
+        some = [" ".join(f"w{k * 60 + i}" for i in range(40)), "w1 w1 w2"]
+        want = [e.ids for e in enc.tok.encode_batch(some, add_special_tokens=False)]
+        assert [ids.tolist() for ids in enc.encode(*text_buffers(pa.array(some)))] == want
 
 
 @pytest.mark.parametrize("kind", ["runs", "random", "phrases"])
