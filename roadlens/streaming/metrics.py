@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def detections(samples: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Per file and window of event time (column ts): samples, objects (about) and fast samples."""
+def detections(samples: DataFrame, window: str = "1 minute", late: str | None = "10 minutes") -> DataFrame:
+    """Per file and window of event time (column ts): samples, objects (about) and fast samples. late
+    is None where samples have a watermark already."""
     fast = F.hypot(F.col("vel_x"), F.col("vel_y")) > 50
-    out = samples.withWatermark("ts", late).groupBy("file", F.window("ts", window)).agg(F.count("*").alias("samples"), F.approx_count_distinct("idx").alias("objects"), F.count_if(fast).alias("fast_samples"))
+    timed = samples if late is None else samples.withWatermark("ts", late)
+    out = timed.groupBy("file", F.window("ts", window)).agg(F.count("*").alias("samples"), F.approx_count_distinct("idx").alias("objects"), F.count_if(fast).alias("fast_samples"))
     return out.select("file", F.col("window.start").alias("start"), "samples", "objects", "fast_samples")
 
 
