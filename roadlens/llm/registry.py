@@ -102,6 +102,31 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+OP3_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|</?turn>|### ')) AS text_chars,
+    length(role) + len(regexp_extract_all(role, '\\|</?turn>|### |:|\n')) AS role_chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<turn>### ') + role_chars + 2 + text_chars + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r(u, w) AS (SELECT u, w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+c AS (SELECT u, count(*) AS n FROM l GROUP BY u), m AS (SELECT u, min(w) AS m FROM r GROUP BY u)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, least(v.vec_id, coalesce(m.m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(m.m, v.vec_id)) AS kept
+FROM v LEFT JOIN c ON c.u = v.vec_id LEFT JOIN m ON m.u = v.vec_id
+"""
+
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_language_id": op2_language_id,
@@ -114,7 +139,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
-ORACLES = {"op1_minhash_forest": OP1_SQL}
+ORACLES = {"op1_minhash_forest": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op9_embedding_dedup": OP9_SQL}
 
 
 def queries() -> dict:
