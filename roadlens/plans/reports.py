@@ -5,7 +5,9 @@ driver, where numbers are rounded half-even as reports show them."""
 
 from __future__ import annotations
 
+import datetime
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +102,16 @@ def video_metrics(frames: DataFrame, stride: int = 5, most: int | None = 500, ex
     return out
 
 
+def write_provenance(source: str, report: str, flags: dict[str, bool], earlier: str | None = None) -> str:
+    """A sidecar DPR_{report's stem}.json beside a written report, saying what it was made from and
+    which warnings hold; returns its path."""
+    now = datetime.datetime.now(datetime.timezone.utc).isoformat()
+    out = Path(report).parent / f"DPR_{Path(report).stem}.json"
+    doc = {"entity": f"{Path(source).stem}_quality_metrics", "started_at": now, "ended_at": now, "tool": "roadlens", "operation": "video quality metrics computation", "inputs": [source], "outputs": [report], "input_provenance": [earlier] if earlier else [], "warnings": [k for k, v in flags.items() if v]}
+    out.write_text(json.dumps(doc, indent=2))
+    return str(out)
+
+
 def load_map(spark: SparkSession, path: str | None = None, log: str | None = None) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
     """(driving lanes, parking areas, offset) of an explicit map file, else of the map in a log."""
     if path:

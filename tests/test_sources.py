@@ -177,3 +177,9 @@ def test_subtitles_streams_specs(spark, tmp_path):
         documents.dataset_spec('{"required_types": ["BOAT"]}')
     with pytest.raises(ValueError):
         documents.service_levels('[["A", 5], ["B", 1]]')
+
+
+def test_provenance(tmp_path):
+    path = reports.write_provenance("/a/b.mp4", str(tmp_path / "q.json"), {"scale_change": True, "border_intrusion": False})
+    doc = json.loads((tmp_path / "DPR_q.json").read_text())
+    assert path.endswith("DPR_q.json") and doc["warnings"] == ["scale_change"] and doc["inputs"] == ["/a/b.mp4"]
