@@ -62,6 +62,7 @@ def openlabel(documents: DataFrame) -> DataFrame:
     return out.select("scene", "frame", F.col("id").cast("long").alias("id"), at(0).alias("x"), at(1).alias("y"), at(5).alias("yaw"), at(6).alias("length"), at(7).alias("width"), F.coalesce(F.try_element_at(group, F.col("kind")), F.lit("other")).alias("vclass"))
 
 
+# Keys of the metric documents.
 _V = {
     "compute_temporal_metrics": ["Temporal Distortion Score (TDS)", "Temporal Completeness (%)"],
     "compute_duplicate_record_rate_video": ["Duplicate Record Rate (%)"],
