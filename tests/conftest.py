@@ -23,5 +23,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from roadlens.functions.shipping import ship
+
+    ship(s)
     yield s
     s.stop()
