@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlens.functions.shipping import ship
 from roadlens.llm.common import cut, table
 from roadlens.llm.languages import UNKNOWN, fit, identify
 from roadlens.llm.minhash import without_near_duplicates
@@ -20,22 +21,26 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: neither without letters nor scored as a mere guess."""
+    ship(spark)
     judged = identify(docs.withColumn("_doc", F.struct(*docs.columns)), fit(docs))
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
     return without_near_duplicates(docs, k=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts masked and n_chars of the masked text."""
+    ship(spark)
     return docs.withColumn("text", redacted(F.col("text"))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin and place of every piece of every document, in byte tokens."""
+    ship(spark)
     return best_fit(byte_lengths(docs))
 
 
