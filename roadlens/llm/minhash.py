@@ -13,9 +13,11 @@ Plan, by size of what is shuffled:
    regions of an order are the runs that share a prefix. A region of more than `region` rows is
    split by a longer prefix (adaptive depth), down to the longest; what still is too large there
    is dealt out by id.
-3. Within a region, similarities are estimated from signatures without emitting pairs. Only a
-   maximum spanning forest of the estimates above a wide margin, and each row's best neighbour, are
-   emitted: single-linkage components at any level are those of such a forest.
+3. Documents that share a region with another get a finer signature of FINE values. Within a region,
+   similarities are estimated from it without emitting pairs. Only a maximum spanning forest of the
+   estimates above a wide margin, and each row's NEAREST best neighbours, are emitted: single-linkage
+   components at any level are those of such a forest, and neighbours make up for estimates that
+   are off.
 4. A region that was split would lose the links between its parts. Its parts' medoids therefore
    compete (a tournament of bounded tasks), and every row of the region is compared with the
    winners: near copies of one text link through the version with the fewest edits.
@@ -39,6 +41,8 @@ VALUES = TREES * STEP_VALUES
 DEPTHS = (3, 6, 12, 24)  # in values; a prefix of a tree's order
 REGION = 1024
 PIVOTS = 4
+FINE = 256  # values of the signatures that similarities are estimated from, a byte each
+NEAREST = 8
 SEED = np.random.default_rng(77).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 XOR = np.random.default_rng(78).integers(0, 2**63, VALUES, dtype=np.uint64)
 
@@ -52,6 +56,29 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return (mix(low) >> np.uint64(32)).astype(">u4")
 
 
+FINE_SEED = (np.random.default_rng(79).integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
+FINE_XOR = np.random.default_rng(80).integers(0, 2**32, FINE, dtype=np.uint32)
+
+
+def _fine(k: int):
+    """Rows (id, text) and their finer signatures."""
+
+    def signature(s: np.ndarray) -> bytes:
+        s, low = (s >> np.uint64(32)).astype(np.uint32), np.full(FINE, 2**32 - 1, np.uint32)
+        for a in range(0, len(s), 2048):
+            part = s[a : a + 2048, None] ^ FINE_XOR[None, :]
+            part *= FINE_SEED[None, :]
+            np.minimum(low, part.min(axis=0), out=low)
+        return (mix(low.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+    def run(batches):
+        for batch in batches:
+            sig = [signature(shingle_set(h, k)) for _, h, _, _ in word_hashes(*text_buffers(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.binary())], ["id", "text", "sig1"])
+
+    return run
+
+
 def _sketch(k: int):
     def run(batches):
         for batch in batches:
@@ -74,17 +101,17 @@ def _estimates(sig: np.ndarray) -> np.ndarray:
     m = len(sig)
     out = np.zeros((m, m), np.float32)
     for a in range(0, m, 64):
-        out[a : a + 64] = (sig[a : a + 64, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.uint8)
-    out = (out / VALUES - 1 / 256) / (1 - 1 / 256)
+        out[a : a + 64] = (sig[a : a + 64, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.uint16)
+    out = (out / FINE - 1 / 256) / (1 - 1 / 256)
     np.fill_diagonal(out, -1)
     return out
 
 
 def _forest(est: np.ndarray, floor: float) -> list[tuple[int, int]]:
-    """A maximum spanning forest over entries of at least floor, and each row's best neighbour."""
+    """A maximum spanning forest over entries of at least floor, and each row's best neighbours."""
     m = len(est)
-    best = est.argmax(axis=1)
-    edges = {(min(i, int(b)), max(i, int(b))) for i, b in enumerate(best) if est[i, b] >= floor}
+    best = np.argpartition(-est, min(NEAREST, m - 1) - 1, axis=1)[:, :NEAREST] if m > 1 else np.zeros((m, 0), int)
+    edges = {(min(i, j), max(i, j)) for i, row in enumerate(best.tolist()) for j in row if est[i, j] >= floor}
     left, reach, via = np.ones(m, bool), np.full(m, -1.0, np.float32), np.zeros(m, np.int64)
     for _ in range(m):
         i = int(np.where(left, reach, -2).argmax())
@@ -107,7 +134,7 @@ def _in_regions(floor: float, medoids: bool):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     def region(node, ids, sigs, found):
-        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), VALUES)
+        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), FINE)
         if medoids:
             est = _estimates(sig)
             score = np.where(est >= floor, est, 0).sum(axis=1)
@@ -115,7 +142,7 @@ def _in_regions(floor: float, medoids: bool):
                 found.append((node, int(ids[i]), sigs[i]))
             return
         if len(ids) == 2:
-            if ids[0] != ids[1] and (sig[0] == sig[1]).sum() >= floor * VALUES:
+            if ids[0] != ids[1] and (sig[0] == sig[1]).sum() >= floor * FINE:
                 found.append((min(ids), max(ids)))
             return
         for i, j in _forest(_estimates(sig), floor):
@@ -155,8 +182,8 @@ def _near(floor: float):
             if not batch.num_rows:
                 continue
             a, b = (np.asarray(batch.column(c)) for c in (0, 2))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, VALUES) for c in (1, 3))
-            ok = ((x == y).sum(axis=1) >= floor * VALUES) & (a != b)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in (1, 3))
+            ok = ((x == y).sum(axis=1) >= floor * FINE) & (a != b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
 
     return run
@@ -183,8 +210,8 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _candidates(reps: DataFrame, floor: float, region: int) -> list[DataFrame]:
-    """Frames of candidate pairs (a, b) from reps(id, sig)."""
+def _candidates(reps: DataFrame, texts: DataFrame, k: int, floor: float, region: int) -> tuple[list[DataFrame], DataFrame]:
+    """Frames of candidate pairs (a, b) from reps(id, sig), and (id, text, sig1) of all in them."""
     twice = F.concat("sig", "sig")
 
     def key(t, depth):
@@ -194,9 +221,10 @@ def _candidates(reps: DataFrame, floor: float, region: int) -> list[DataFrame]:
     spots = reps.select("id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"), "sig")
     keys = spots.select("id", "t", key(F.col("t"), DEPTHS[0]).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(shared, "key").select("id", "t", "key", "n")
-    small_sig = reps.select("id", "sig", F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1")).alias("sig1"))
-    rows = cut(rows.join(small_sig, "id"), "regions")
+    rows = cut(keys.join(shared, "key").select("id", "t", "key", "n"), "regions")
+    near = by_bitmap(texts, rows.select("id").distinct(), "left_semi").dropDuplicates(["id", "text"])
+    near = cut(near.mapInArrow(_fine(k), "id long, text string, sig1 binary"), "near")
+    rows = rows.join(near.select("id", "sig1"), "id")
     for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], None)):
         fits = rows.where(F.col("n") <= region)
         found.append(_regions_to(fits.withColumn("node", F.col("key")), floor, False))
@@ -214,16 +242,16 @@ def _candidates(reps: DataFrame, floor: float, region: int) -> list[DataFrame]:
             field = field.join(field.groupBy("node").agg(F.count("*").alias("n")), "node")
         won = _regions_to(field.withColumn("key", F.col("node")), floor, True)
         won = cut(won.select("node", F.col("id").alias("pivot"), F.col("sig1").alias("pivot_sig")).distinct(), "pivots")
-        near = large.join(won, large["key"] == won["node"]).select("id", "sig1", "pivot", "pivot_sig")
-        found.append(near.mapInArrow(_near(floor), "a long, b long"))
+        met = large.join(won, large["key"] == won["node"]).select("id", "sig1", "pivot", "pivot_sig")
+        found.append(met.mapInArrow(_near(floor), "a long, b long"))
         if deeper is None:
             dealt = large.withColumn("node", F.col("key")).withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / region))))
             found.append(_regions_to(dealt, floor, False))
             break
-        keyed = large.select("id", "t", key(F.col("t"), deeper).alias("key"), "sig", "sig1")
+        keyed = large.select("id", "t", "sig1").join(reps, "id").select("id", "t", key(F.col("t"), deeper).alias("key"), "sig1")
         shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         rows = cut(keyed.join(shared, "key"), "regions")
-    return found
+    return found, near
 
 
 FILTER_WORDS = 1 << 18  # of 64 bits: the bound of what by_bitmap() broadcasts, 4 MB
@@ -243,26 +271,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text). percent: the
     similarity, in hundredths, from which documents are linked. region: the rows that one task
     compares with each other at most."""
-    floor = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / VALUES))
+    floor = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / FINE))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = cut(slim.mapInArrow(_sketch(k), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "sketch")
     some = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     lead = classes.select("id", "h1", "h2")
     reps = some.select(F.col("doc_id").alias("id"), "h1", "h2", "sig").join(lead, ["id", "h1", "h2"]).select("id", "sig")
-    found = _candidates(reps, floor, region)
+    found, texts = _candidates(reps, slim.withColumnRenamed("doc_id", "id"), k, floor, region)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     pairs = cut(pairs.distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    need = cut(need, "need")
-    some_docs = by_bitmap(slim.withColumnRenamed("doc_id", "id"), need, "left_semi")
-    texts = cut(some_docs.join(need, "id").dropDuplicates(["id", "text"]), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "u long, v long")
     comp = components(links, "near")
-    forget(texts, need, pairs)
+    forget(texts, pairs)
     joined = classes.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"), "n", F.col("component").isNotNull().alias("linked"))
     joined = joined.where("n > 1 or linked").drop("n", "linked")
     out = sketch.drop("sig").join(joined, ["h1", "h2", "n_shingles"], "left")
