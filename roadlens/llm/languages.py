@@ -17,7 +17,6 @@ repeated rows are predicted each; an empty table gives no rows; extra columns st
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -31,7 +30,7 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
 TEMPER = 12.0  # words of evidence at most
-CACHED = 300_000
+CACHED = 150_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -42,32 +41,39 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     """Evidence by language: `words` and `grams` map an item to its vector, in order of `languages`.
 
-    Vectors lie in one table, so that a text costs a dictionary look-up per distinct word and one
+    Vectors lie in two tables, so that a text costs a dictionary look-up per distinct word and one
     product; words met for the first time are scored once and kept, CACHED of them at most."""
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.languages, self.words, self.grams = languages, words, grams
-        self.gram_row = {g: i for i, g in enumerate(grams)}
-        self.gram_table = np.array(list(grams.values())).reshape(len(grams), len(languages))
-        self._reset()
+        matrix = lambda d: np.array(list(d.values()), np.float64).reshape(len(d), len(languages))
+        self.__setstate__((languages, list(words), matrix(words), list(grams), matrix(grams)))
+
+    @classmethod
+    def of(cls, languages: list[str], words: list[str], word_table: np.ndarray, grams: list[str], gram_table: np.ndarray) -> Model:
+        self = cls.__new__(cls)
+        self.__setstate__((languages, words, word_table, grams, gram_table))
+        return self
 
     def __getstate__(self):
-        return self.languages, self.words, self.grams
+        n = self.known
+        return self.languages, list(self.row)[:n], self.table[:n], list(self.gram_row), self.gram_table
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.languages, words, table, grams, self.gram_table = state
+        self.known = len(words)
+        self.gram_row = {g: i for i, g in enumerate(grams)}
+        self.row = {w: i for i, w in enumerate(words)}
+        self.table = np.zeros((self.known + CACHED, len(self.languages)))
+        self.table[: self.known] = table
 
     def _reset(self) -> None:
-        self.table = np.zeros((len(self.words) + CACHED, len(self.languages)))
-        self.row = {w: i for i, w in enumerate(self.words)}
-        if self.words:
-            self.table[: len(self.words)] = list(self.words.values())
+        self.row = {w: i for w, i in self.row.items() if i < self.known}
 
     def word_score(self, word: str) -> np.ndarray:
         """The vector of a word: its own, or the mean of its longest known n-grams."""
-        got = self.words.get(word)
+        got = self.row.get(word)
         if got is not None:
-            return got
+            return self.table[got]
         for n in LENGTHS:
             known = [i for g in grams(word[:64], n) if (i := self.gram_row.get(g)) is not None]
             if known:
@@ -95,21 +101,18 @@ class Model:
         return self.languages[best], float(1 / np.exp(odds).sum())
 
 
-def _scores(counts: dict[str, dict[str, int]], totals: dict[str, int], languages: list[str]) -> dict[str, np.ndarray]:
-    """Log relative frequencies with add-half smoothing, less their mean: what all languages share
-    carries no evidence."""
-    out = {}
-    for key, by in counts.items():
-        v = np.array([math.log((by.get(x, 0) + 0.5) / (totals[x] + 1.0)) for x in languages])
-        out[key] = v - v.mean()
-    return out
+def _scores(counts: np.ndarray) -> np.ndarray:
+    """Log relative frequencies by language with add-half smoothing, less their mean: what all
+    languages share carries no evidence."""
+    v = np.log((counts + 0.5) / (counts.sum(axis=0) + 1.0))
+    return v - v.mean(axis=1, keepdims=True)
 
 
 def _counted(batches):
     """Rows (text, lang) to partial counts (lang, kind, item, n); kind 0 is words, n n-grams."""
     for batch in batches:
-        for x in range(0, batch.num_rows, 500):
-            part = batch.slice(x, 500)
+        for x in range(0, batch.num_rows, 100):
+            part = batch.slice(x, 100)
             words: dict[str, Counter] = {}
             for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(_WORD.findall((text or "").lower()))
@@ -137,19 +140,21 @@ def fit(labelled: DataFrame, per_language: int = 2000, words: int = 60_000, gram
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(F.col("lang").isin(*sizes) & (share < F.try_element_at(quota, F.col("lang")))).select("text", "lang")
     counts = sample.mapInArrow(_counted, "lang string, kind int, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))  # at most `languages` entries a list
-    order = [F.desc("total"), F.asc("kind"), F.asc("item")]
-    kept_words = items.where("kind = 0 and total > 1").orderBy(*order).limit(words).collect()
-    kept_grams = items.where("kind > 0 and total > 1").orderBy(*order).limit(grams).collect()
     names = sorted(sizes)
-    w = {r["item"]: {b.lang: b.n for b in r.by} for r in kept_words}
-    g = {r["item"]: {b.lang: b.n for b in r.by} for r in kept_grams}
-    total = lambda t: {x: sum(c.get(x, 0) for c in t.values()) for x in names}
-    by_length: dict[str, np.ndarray] = {}
+    wide = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(names)))
+    order = [F.desc("total"), F.asc("kind"), F.asc("item")]
+
+    def most(where: str, limit: int) -> tuple[list[str], np.ndarray]:
+        got = wide.where(where).orderBy(*order).limit(limit).toArrow()  # the model's own size
+        return got.column("item").to_pylist(), np.stack([got.column(f"n{i}").to_numpy() for i in range(len(names))], axis=1)
+
+    known, times = most("kind = 0 and total > 1", words)
+    parts, part_times = most("kind > 0 and total > 1", grams)
+    table, length = np.zeros(part_times.shape), np.array([len(p) for p in parts], np.int64)
     for n in LENGTHS:
-        own = {k: v for k, v in g.items() if len(k) == n}
-        by_length |= _scores(own, total(own), names)
-    return Model(names, _scores(w, total(w), names), by_length)
+        if (length == n).any():
+            table[length == n] = _scores(part_times[length == n])
+    return Model.of(names, known, _scores(times) if known else times, parts, table)
 
 
 def predicted(text: Column, model) -> Column:
