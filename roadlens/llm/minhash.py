@@ -22,6 +22,9 @@ Plan, by size of what is shuffled:
    compete (a tournament of bounded tasks), and every row of the region is compared with the
    winners: near copies of one text link through the version with the fewest edits.
 5. Candidates are confirmed on whole sets; components follow by contraction.
+6. What was cut in 2 to 4 is made up for: in every split region of the least depth all rows of
+   different components meet, a pair of blocks of bounded size in a task. Those estimated above
+   the margin are compared on whole sets.
 
 Defined results: null or word-less text: empty set, linked with nothing; null doc_id: reported with
 a null component and kept false; repeated rows: one class, each row reported; empty table: no rows.
@@ -210,8 +213,9 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _candidates(reps: DataFrame, texts: DataFrame, k: int, floor: float, region: int) -> tuple[list[DataFrame], DataFrame]:
-    """Frames of candidate pairs (a, b) from reps(id, sig), and (id, text, sig1) of all in them."""
+def _candidates(reps: DataFrame, texts: DataFrame, k: int, floor: float, region: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Frames of candidate pairs (a, b) from reps(id, sig), (id, text, sig1) of all in them, and the
+    regions (id, t, key, n) of the least depth."""
     twice = F.concat("sig", "sig")
 
     def key(t, depth):
@@ -224,6 +228,7 @@ def _candidates(reps: DataFrame, texts: DataFrame, k: int, floor: float, region:
     rows = cut(keys.join(shared, "key").select("id", "t", "key", "n"), "regions")
     near = by_bitmap(texts, rows.select("id").distinct(), "left_semi").dropDuplicates(["id", "text"])
     near = cut(near.mapInArrow(_fine(k), "id long, text string, sig1 binary"), "near")
+    regions = rows
     rows = rows.join(near.select("id", "sig1"), "id")
     for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], None)):
         fits = rows.where(F.col("n") <= region)
@@ -251,7 +256,140 @@ def _candidates(reps: DataFrame, texts: DataFrame, k: int, floor: float, region:
         keyed = large.select("id", "t", "sig1").join(reps, "id").select("id", "t", key(F.col("t"), deeper).alias("key"), "sig1")
         shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         rows = cut(keyed.join(shared, "key"), "regions")
-    return found, near
+    return found, near, regions
+
+
+UNIT_BYTES = 16 << 20  # of texts that one task holds at most, but for single longer texts
+
+
+def _blocks(rows: DataFrame, region: int) -> DataFrame:
+    """Rows (key, t, id, c, bytes) of regions with several components c to rows (unit, side, t, id, c):
+    every two rows of a region with different c meet in a unit of about `region` rows at most. A region
+    that is larger is dealt into blocks, and each pair of blocks is a unit, one block on each side;
+    blocks within one component needn't meet."""
+    load = lambda n, b: F.ceil(F.greatest(2 * F.col(n) / region, 2 * F.col(b) / UNIT_BYTES))
+    groups = rows.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("bytes").alias("b"))
+    totals = groups.groupBy("key").agg(F.sum("m").alias("all_m"), F.sum("b").alias("all_b"), F.count("*").alias("cs")).where("cs > 1")
+    groups = groups.join(totals, "key").withColumn("whole", (F.col("all_m") <= region) & (F.col("all_b") <= UNIT_BYTES)).withColumn("own", ~F.col("whole") & (load("m", "b") > 1))
+    pool = groups.where("not own").groupBy("key").agg(F.sum("m").alias("pool_m"), F.sum("b").alias("pool_b"))
+    plan = groups.join(pool, "key", "left").select("key", "c", "whole", "own", F.when(F.col("own"), load("m", "b")).otherwise(load("pool_m", "pool_b")).alias("parts"))
+    block = F.when(F.col("whole"), F.lit(0)).when(F.col("own"), F.xxhash64("c", F.pmod(F.xxhash64("id"), "parts"))).otherwise(F.pmod(F.xxhash64("c"), "parts"))
+    dealt = cut(rows.join(plan, ["key", "c"]).select("key", "t", "id", "c", block.alias("block"), F.when(F.col("own"), F.col("c")).alias("own")), "blocks")
+    blocks = dealt.select("key", "block", "own").distinct()
+    two = blocks.alias("x").join(blocks.alias("y"), "key").where("x.block <= y.block and (x.own is null or y.own is null or x.own <> y.own)")
+    unit = F.xxhash64("key", F.col("x.block"), F.col("y.block"))
+    ends = F.when(F.col("x.block") == F.col("y.block"), F.array(F.struct(F.lit(0).alias("side"), F.col("x.block").alias("block")))).otherwise(F.array(F.struct(F.lit(1).alias("side"), F.col("x.block").alias("block")), F.struct(F.lit(2).alias("side"), F.col("y.block").alias("block"))))
+    sides = two.select("key", unit.alias("unit"), F.explode(ends).alias("e")).select("key", "unit", "e.side", "e.block")
+    return dealt.join(sides, ["key", "block"]).select("unit", "side", "t", "id", "c")
+
+
+def _by_unit(work, names: list[str]):
+    """Rows sorted by their first column: work(the columns of one unit) makes rows of `names`."""
+
+    def run(batches):
+        def out(rows):
+            columns = list(zip(*rows)) if rows else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+        unit, held, found = None, [], []
+        for batch in batches:
+            heads = batch.column(0).to_numpy()
+            edges = np.r_[0, np.flatnonzero(heads[1:] != heads[:-1]) + 1, len(heads)] if len(heads) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if heads[a] != unit:
+                    if held:
+                        found += work(pa.Table.from_batches(held))
+                    unit, held = heads[a], []
+                    if len(found) > 20_000:
+                        yield out(found)
+                        found = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            found += work(pa.Table.from_batches(held))
+        yield out(found)
+
+    return run
+
+
+def _apart(side: np.ndarray, c: np.ndarray, at: slice) -> np.ndarray:
+    """Which rows of a unit those at `at` have to meet."""
+    return (c[at, None] != c[None, :]) & ((side[at, None] == 0) | (side[at, None] != side[None, :]))
+
+
+def _suspects(floor: float):
+    """A unit's rows (unit, side, t, id, c, sig, sig1) that are estimated at `floor` or more with one
+    of another component, in the first tree where the two share a region."""
+
+    def work(rows):
+        side, t, ids, c = (rows.column(n).to_numpy() for n in ("side", "t", "id", "c"))
+        fine = np.frombuffer(b"".join(rows.column("sig1").to_pylist()), np.uint8).reshape(len(ids), FINE)
+        trees = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u4").reshape(len(ids), TREES, STEP_VALUES)
+        hit = np.zeros(len(ids), bool)
+        least = floor * FINE
+        for a in range(0, len(ids), 64):
+            at = slice(a, a + 64)
+            i, j = np.nonzero(_apart(side, c, at))
+            for x in range(0, len(i), 1 << 14):
+                p, q = i[x : x + (1 << 14)] + a, j[x : x + (1 << 14)]
+                ok = (fine[p] == fine[q]).sum(axis=1) >= least
+                p, q = p[ok], q[ok]
+                first = (trees[p] == trees[q]).all(axis=2).argmax(axis=1) == t[p]
+                hit[p[first]] = hit[q[first]] = True
+        unit = int(rows.column("unit")[0].as_py())
+        return [(unit, int(side[k]), int(ids[k]), int(c[k])) for k in np.flatnonzero(hit)]
+
+    return _by_unit(work, ["unit", "side", "id", "c"])
+
+
+def _links(k: int, percent: int):
+    """A unit's rows (unit, side, id, c, text) to links (u, v): whole sets of every two of different
+    components are compared; of links that join the same rows a forest is emitted."""
+
+    def work(rows):
+        side, ids, c = (rows.column(n).to_numpy() for n in ("side", "id", "c"))
+        sets = [shingle_set(h, k) for _, h, _, _ in word_hashes(*text_buffers(rows.column("text")))]
+        size = np.array([len(s) for s in sets], np.int64)
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+        count = np.bincount(place, minlength=len(values))
+        begin = np.r_[0, np.cumsum(size)]
+        post = np.cumsum(count) - count
+        parent = {x: x for x in c.tolist()}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        for i in range(len(sets)):
+            both = np.zeros(len(sets), np.int64)
+            for y in range(begin[i], begin[i + 1], 4096):  # bounds the postings held at once
+                w = place[y : min(y + 4096, begin[i + 1])]
+                n = count[w]
+                upto = np.cumsum(n)
+                both += np.bincount(owner[np.arange(upto[-1]) + np.repeat(post[w] - (upto - n), n)], minlength=len(sets))
+            linked = (both > 0) & (100 * both >= percent * (size[i] + size - both)) & _apart(side, c, slice(i, i + 1))[0]
+            for j in np.flatnonzero(linked):
+                p, q = root(int(c[i])), root(int(c[j]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        return found
+
+    return _by_unit(work, ["u", "v"])
+
+
+def _missed(regions: DataFrame, reps: DataFrame, texts: DataFrame, comp: DataFrame, k: int, percent: int, floor: float, region: int) -> DataFrame:
+    """Links (u, v) between components comp(id, component), of every two rows that share a region
+    (t, key, id) and are estimated at floor or more: no cap and no split decides."""
+    rows = regions.select("key", "t", "id").join(comp, "id", "left").join(texts.select("id", F.octet_length("text").alias("bytes")), "id")
+    rows = rows.select("key", "t", "id", F.coalesce("component", "id").alias("c"), "bytes")
+    units = _blocks(rows, region).join(reps, "id").join(texts.select("id", "sig1"), "id").select("unit", "side", "t", "id", "c", "sig", "sig1")
+    some = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_suspects(floor), "unit long, side long, id long, c long")
+    some = cut(some, "suspects").join(texts.select("id", "text"), "id").select("unit", "side", "id", "c", "text")
+    return cut(some.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_links(k, percent), "u long, v long"), "missed")
 
 
 FILTER_WORDS = 1 << 18  # of 64 bits: the bound of what by_bitmap() broadcasts, 4 MB
@@ -278,14 +416,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int
     classes = cut(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     lead = classes.select("id", "h1", "h2")
     reps = some.select(F.col("doc_id").alias("id"), "h1", "h2", "sig").join(lead, ["id", "h1", "h2"]).select("id", "sig")
-    found, texts = _candidates(reps, slim.withColumnRenamed("doc_id", "id"), k, floor, region)
+    found, texts, regions = _candidates(reps, slim.withColumnRenamed("doc_id", "id"), k, floor, region)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     pairs = cut(pairs.distinct(), "pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "u long, v long")
+    links = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "u long, v long"), "links")
     comp = components(links, "near")
+    missed = _missed(regions.where(F.col("n") > region), reps, texts, comp, k, percent, floor, region)
+    if not missed.isEmpty():
+        comp = components(links.union(missed), "near")
     forget(texts, pairs)
     joined = classes.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"), "n", F.col("component").isNotNull().alias("linked"))
     joined = joined.where("n > 1 or linked").drop("n", "linked")

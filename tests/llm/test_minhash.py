@@ -56,6 +56,29 @@ def test_components_are_exact(spark, region):
     assert got == brute(docs, 4)
 
 
+def family(n_pairs, n_single, base, own, shared):
+    """Documents of base common and own other words; `shared` of the others are common to a pair."""
+    docs = []
+    for k in range(n_pairs + n_single):
+        for side in "ab" if k < n_pairs else "a":
+            rest = [f"s{k}-{x}" for x in range(shared if k < n_pairs else 0)]
+            rest += [f"o{k}{side}-{x}" for x in range(own - len(rest))]
+            docs.append((len(docs), " ".join([f"b{x}" for x in range(base)] + rest)))
+    return docs
+
+
+def linked(spark, docs, **more):
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(rows, k=1, **more).collect()}
+
+
+def test_split_regions_lose_no_pair(spark):
+    docs = family(100, 0, 140, 30, 12)  # 0.81 in a pair, 0.70 otherwise
+    want = brute(docs, 1)
+    assert sum(not kept for _, _, kept in want.values()) == 100
+    assert linked(spark, docs, region=12) == want
+
+
 def test_empty_and_odd_tables(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
