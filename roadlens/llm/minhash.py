@@ -22,8 +22,8 @@ Plan, by size of what is shuffled:
    compete (a tournament of bounded tasks), and every row of the region is compared with the
    winners: near copies of one text link through the version with the fewest edits.
 5. Candidates are confirmed on whole sets; components follow by contraction.
-6. What was cut in 2 to 4 is made up for: in every split region of the least depth all rows of
-   different components meet, a pair of blocks of bounded size in a task. Those estimated above
+6. What was cut in 2 to 4 is made up for: in every region of the least depth all rows of
+   different components meet, those of a split one by pairs of blocks of bounded size. Those estimated above
    the margin are compared on whole sets.
 
 Defined results: null or word-less text: empty set, linked with nothing; null doc_id: reported with
@@ -424,7 +424,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "u long, v long"), "links")
     comp = components(links, "near")
-    missed = _missed(regions.where(F.col("n") > region), reps, texts, comp, k, percent, floor, region)
+    missed = _missed(regions, reps, texts, comp, k, percent, floor, region)
     if not missed.isEmpty():
         comp = components(links.union(missed), "near")
     forget(texts, pairs)

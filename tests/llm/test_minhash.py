@@ -79,6 +79,13 @@ def test_split_regions_lose_no_pair(spark):
     assert linked(spark, docs, region=12) == want
 
 
+def test_close_neighbours_hide_no_pair(spark):
+    docs = family(60, 180, 155, 22, 3)  # 0.81 in a pair, 0.78 otherwise
+    want = brute(docs, 1)
+    assert sum(not kept for _, _, kept in want.values()) == 60
+    assert linked(spark, docs) == want
+
+
 def test_empty_and_odd_tables(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
