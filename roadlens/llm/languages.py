@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,11 +33,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
 TEMPER = 12.0  # words of evidence at most
 CACHED = 150_000
+STREAM = 1 << 16  # n-grams of a long run of letters that are held at once
 
 
-def grams(word: str, n: int) -> list[str]:
+def grams(word: str, n: int) -> Iterator[list[str]]:
+    """All n-grams of a word, STREAM of them at a time."""
     padded = f"<{word}>" if n > 1 else word
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    every = (padded[i : i + n] for i in range(len(padded) - n + 1))
+    while part := list(islice(every, STREAM)):
+        yield part
 
 
 class Model:
@@ -75,9 +81,13 @@ class Model:
         if got is not None:
             return self.table[got]
         for n in LENGTHS:
-            known = [i for g in grams(word[:64], n) if (i := self.gram_row.get(g)) is not None]
-            if known:
-                return self.gram_table[known].sum(axis=0) / len(known)
+            total, count = 0.0, 0
+            for part in grams(word, n):
+                known = [i for g in part if (i := self.gram_row.get(g)) is not None]
+                if known:
+                    total, count = total + self.gram_table[known].sum(axis=0), count + len(known)
+            if count:
+                return total / count
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -110,23 +120,29 @@ def _scores(counts: np.ndarray) -> np.ndarray:
 
 def _counted(batches):
     """Rows (text, lang) to partial counts (lang, kind, item, n); kind 0 is words, n n-grams."""
+
+    def rows_of(lang, kind, seen):
+        n = len(seen)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([kind] * n, pa.int32()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "kind", "item", "n"])
+
     for batch in batches:
         for x in range(0, batch.num_rows, 100):
             part = batch.slice(x, 100)
             words: dict[str, Counter] = {}
             for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(_WORD.findall((text or "").lower()))
-            rows: list[tuple] = []
             for lang, seen in words.items():
-                rows += [(lang, 0, w, n) for w, n in seen.items()]
+                yield rows_of(lang, 0, seen)
                 for k in LENGTHS:
                     g: Counter = Counter()
                     for w, n in seen.items():
-                        for y in grams(w[:64], k):
-                            g[y] += n
-                    rows += [(lang, k, y, n) for y, n in g.items()]
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "kind", "item", "n"])
+                        for some in grams(w, k):
+                            for y in some:
+                                g[y] += n
+                            if len(g) > STREAM:
+                                yield rows_of(lang, k, g)
+                                g = Counter()
+                    yield rows_of(lang, k, g)
 
 
 def fit(labelled: DataFrame, per_language: int = 2000, words: int = 60_000, grams: int = 60_000, languages: int = 200) -> Model:

@@ -150,3 +150,14 @@ def test_event_log_is_folded(spark):
     out = chats.format_chats(df).orderBy("turn").collect()
     assert "".join(r.segment for r in out) == "<turn>### user:\nhi</turn>\n<turn>### assistant:\nbye</turn>\n<turn>### user:\nfixed</turn>\n"
     assert [r.segment[r.loss_start : r.loss_end] if r.loss_start is not None else None for r in out] == [None, "bye", None]
+
+
+def test_long_runs_count_whole(spark):
+    from roadlens.llm import languages
+
+    rows = [(k, x * 300, x[0]) for k in range(20) for x in ("abcab", "klmkl")] + [(50 + k, "z" * 64 + "qrs" * 50, "k") for k in range(20)]
+    rows += [(90 + k, "z" * 64 + "uvw" * 50, "a") for k in range(20)]
+    model = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict("abcab" * 12 + "klmkl" * 1000)[0] == "k"
+    assert model.predict("klmkl" * 12 + "abcab" * 1000)[0] == "a"
+    assert model.predict("qrsqrs")[0] == "k" and model.predict("uvwuvw")[0] == "a"
