@@ -148,18 +148,18 @@ def view_score(c: dict[str, Column]) -> Column:
 
 def degradation(features: DataFrame, views: DataFrame | None = None) -> DataFrame:
     """Blockage and view scores and their flags; videos of fewer than two frames score 1 and 1.
-    views: view_changes() of the videos, none without them."""
+    views: view_changes() of the videos; without it what depends on scales is null."""
     sides = [f"border_{s}" for s in ("left", "right", "top", "bottom")]
     out = features.groupBy("video").agg(F.count("*").alias("frames"), *(F.avg(c).alias(c) for c in ("low_intensity", "low_texture", "edge_gini", "tile_entropy", *sides, "border_constant")))
     if views is not None:
         scales = views.where("scale is not null").groupBy("video").agg(F.avg("scale").alias("scale_mean"), (F.stddev_pop("scale") / (F.avg("scale") + EPS)).alias("scale_cov"), F.avg("rotation_deg").alias("rotation_mean_deg"), F.median("inliers").alias("inliers_median"))
-        out = out.join(scales, "video", "left")
+        out = out.join(scales, "video", "left").withColumns({"scale_mean": F.coalesce("scale_mean", F.lit(1.0)), "scale_cov": F.coalesce("scale_cov", F.lit(0.0))})
     else:
         out = out.withColumns({"scale_mean": F.lit(None).cast("double"), "scale_cov": F.lit(None).cast("double")})
-    out = out.withColumns({"scale_mean": F.coalesce("scale_mean", F.lit(1.0)), "scale_cov": F.coalesce("scale_cov", F.lit(0.0)), "border": F.greatest(*sides)})
+    out = out.withColumn("border", F.greatest(*sides))
     c = {k: F.col(k) for k in out.columns}
     few = F.col("frames") < 2
-    out = out.withColumns({"partial_blockage_score": F.when(few, 1.0).otherwise(blockage_score(c)), "fov_change_score": F.when(few, 1.0).otherwise(view_score(c))})
+    out = out.withColumns({"partial_blockage_score": F.when(few, 1.0).otherwise(blockage_score(c)), "fov_change_score": F.when(few, 1.0).when(F.col("scale_mean").isNotNull(), view_score(c))})
     return out.withColumns({
         "insufficient_frames": few,
         "partial_blockage_suspected": F.col("partial_blockage_score") < 0.7,

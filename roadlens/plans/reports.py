@@ -77,9 +77,9 @@ def log_report(spark: SparkSession, path: str, spec_text: str | None = None, **o
     return json.dumps(log_metrics(read("samples"), read("header"), read("lights"), spec, **options), indent=2, default=str)
 
 
-def video_metrics(frames: DataFrame, stride: int = 5, most: int | None = 500, expected_hz: float | None = None, views: bool = False) -> dict[str, dict]:
+def video_metrics(frames: DataFrame, stride: int = 5, most: int | None = 500, expected_hz: float | None = None, views: bool = True) -> dict[str, dict]:
     """Every metric of frames(video, frame_no, ts, height, width, nChannels, data) by video. views:
-    also compare scale and rotation with the first frame."""
+    compare scale and rotation with the first frame, too; without, what depends on them is null."""
     sampled = video.sampled(frames, stride, most)
     features = kernels.frame_features(sampled).cache()
     sections = {

@@ -67,6 +67,17 @@ def test_report_of_a_steady_video(spark):
     assert out["traffic_presence"]["total"] == 0 and out["duplicate_record_rate"]["duplicates"] == 0
 
 
+def test_default_report_compares_views(spark):
+    rng = np.random.default_rng(0)
+    big = kernels.box_mean(rng.integers(0, 256, (220, 280)).astype(float), 5)
+    big = np.repeat(((big - big.min()) / np.ptp(big) * 255)[..., None], 3, axis=2)
+    df = frames(spark, [big] * 6)
+    got = reports.video_metrics(df, stride=1)["v"]["sensor_degradation"]
+    assert got["inliers_median"] >= 20 and abs(got["scale_mean"] - 1) < 1e-6
+    r = video.degradation(kernels.frame_features(df)).first()
+    assert (r.scale_mean, r.scale_cov, r.fov_change_score, r.fov_change_suspected, r.scale_change) == (None,) * 5
+
+
 def test_dark_border_and_few_frames(spark):
     image = noise(2)
     image[:, :20] = 0
