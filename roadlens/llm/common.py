@@ -14,8 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares; a local one only where the session names none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder every executor shares, as the session names it. Where it names none, a local master
+    gets a folder below the warehouse, which its only process can read; a cluster gets an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -69,6 +75,30 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+PRIME = np.uint64(2**31 - 1)
+PRIME_BYTE = _rng.permutation(1 << 20)[:256].astype(np.uint64) * np.uint64(2039) + np.uint64(1)
+PRIME_BASE = 1_582_043_177
+_prime_powers: dict[int, np.ndarray] = {}
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^62 modulo PRIME, up to one multiple of it."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+def _prime_power(base: int, n: int) -> np.ndarray:
+    have = _prime_powers.get(base)
+    if have is None or len(have) < n:
+        have, step = np.ones(1, np.uint64), base
+        while len(have) < n:
+            have = np.r_[have, _folded(have * np.uint64(step)) % PRIME]
+            step = step * step % int(PRIME)
+        if n <= 4 * PIECE:
+            _prime_powers[base] = have
+    return have[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -96,9 +126,29 @@ def _hash_piece(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray, fold: np
     after[-1] = False
     after[:-1] = inside[1:]
     e = np.flatnonzero(inside & (~after | brk[1:])) + 1
+    return _span_hashes(low, s, e), s, e
+
+
+def _span_hashes(units: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    n = len(units)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_HASH[low] * _power(BASE, n), dtype=np.uint64, out=sums[1:])
-    return mix((sums[e] - sums[s]) * _power(BASE_INV, n)[s]), s, e
+    np.cumsum(BYTE_HASH[units] * _power(BASE, n), dtype=np.uint64, out=sums[1:])
+    wide = (sums[e] - sums[s]) * _power(BASE_INV, n)[s]
+    # words that agree modulo 2^64 whatever the base (such words are easily made) differ modulo a prime
+    np.cumsum(_folded(PRIME_BYTE[units] * _prime_power(PRIME_BASE, n)), dtype=np.uint64, out=sums[1:])
+    prime = (sums[e] - sums[s]) % PRIME * _prime_power(pow(PRIME_BASE, -1, int(PRIME)), n)[s] % PRIME
+    return mix(wide ^ mix(prime))
+
+
+def span_hashes(units: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the spans units[s:e] (bytes; ascending, not overlapping), a bounded piece at a time."""
+    out, at = np.zeros(len(s), np.uint64), 0
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(e, s[at] + 2 * PIECE, "right")))
+        lo = int(s[at])
+        out[at:to] = _span_hashes(units[lo : int(e[to - 1])], s[at:to] - lo, e[at:to] - lo)
+        at = to
+    return out
 
 
 def text_buffers(column):
@@ -156,6 +206,121 @@ def word_hashes(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACES, fo
         yield i, *(np.concatenate([p[q] for p in parts]) for q in range(3))
 
 
+def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places at[0] .. at[0] + size[0] - 1, at[1] .. and so on."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(at - (upto - size), size)
+
+
+class Ragged:
+    """Rows of different lengths in one growing array."""
+
+    def __init__(self, kind):
+        self.flat, self.at, self.size = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.n, self.held = 0, 0
+
+    def extend(self, flat: np.ndarray, size: np.ndarray) -> None:
+        while self.held + len(flat) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        while self.n + len(size) > len(self.at):
+            self.at, self.size = np.r_[self.at, np.zeros_like(self.at)], np.r_[self.size, np.zeros_like(self.size)]
+        self.flat[self.held : self.held + len(flat)] = flat
+        self.at[self.n : self.n + len(size)] = self.held + np.cumsum(size) - size
+        self.size[self.n : self.n + len(size)] = size
+        self.n, self.held = self.n + len(size), self.held + len(flat)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These rows' values, one after the other, and their sizes."""
+        size = self.size[rows]
+        return self.flat[spread(self.at[rows], size)], size
+
+    def keep(self, rows: np.ndarray) -> None:
+        flat, size = self.take(rows)
+        self.n = self.held = 0
+        self.extend(flat, size)
+
+
+class Known:
+    """Distinct words (or other strings of units) met so far, each with a row number.
+
+    Rows are found by hash in arrays, many at once, and told apart by comparing all their units, so
+    hashes that clash do no harm. `payloads` hold what is known of each row. When `most` rows are
+    full, those used in the most batches stay, a quarter of them."""
+
+    def __init__(self, most: int, kind, payloads: list[Ragged]):
+        self.most, self.slots = most, 1 << (2 * most - 1).bit_length()
+        self.units, self.payloads = Ragged(kind), payloads
+        self.hash, self.used = np.zeros(most, np.uint64), np.zeros(most, np.int32)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.row = np.full(self.slots, -1, np.int32)
+
+    def _find(self, h, data, s, e) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        todo, slot = np.arange(len(h)), (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            row = self.row[slot].astype(np.int64)
+            free = row < 0
+            same = ~free
+            same[same] = (self.hash[row[same]] == h[todo[same]]) & (self.units.size[row[same]] == (e - s)[todo[same]])
+            own, at = row[same], todo[same]
+            size = (e - s)[at]
+            if len(own):
+                unlike = self.units.flat[spread(self.units.at[own], size)] != data[spread(s[at], size)]
+                if unlike.any():
+                    bad = np.zeros(len(own), bool)
+                    bad[np.repeat(np.arange(len(own)), size)[unlike]] = True
+                    same[np.flatnonzero(same)[bad]] = False
+                    own, at = own[~bad], at[~bad]
+                out[at] = own
+            on = ~free & ~same
+            todo, slot = todo[on], (slot[on] + 1) & (self.slots - 1)
+        return out
+
+    def _insert(self, rows: np.ndarray) -> None:
+        """Slots for rows, whose hashes may agree."""
+        todo, slot = rows, (self.hash[rows] & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            free = self.row[slot] < 0
+            self.row[slot[free]] = todo[free]
+            on = self.row[slot] != todo
+            todo, slot = todo[on], (slot[on] + 1) & (self.slots - 1)
+
+    def rows(self, h, data, s, e, learn) -> np.ndarray | None:
+        """The row of each word data[s:e] with hash h. learn(indices) adds the payloads of words that
+        are new. None if there are more distinct words than rows."""
+        got = self._find(h, data, s, e)
+        while (got < 0).any():
+            miss = np.flatnonzero(got < 0)
+            new = miss[np.unique(h[miss], return_index=True)[1]]
+            if self.units.n + len(new) > self.most:
+                if len(new) > self.most // 2:
+                    return None
+                self._shrink()
+                got = self._find(h, data, s, e)
+                continue
+            learn(new)
+            first, size = self.units.n, (e - s)[new]
+            self.units.extend(data[spread(s[new], size)], size)
+            self.hash[first : self.units.n], self.used[first : self.units.n] = h[new], 0
+            self._insert(np.arange(first, self.units.n))
+            got[miss] = self._find(h[miss], data, s[miss], e[miss])
+        some = np.zeros(self.units.n, bool)
+        some[got] = True
+        self.used[: self.units.n] += some
+        return got
+
+    def _shrink(self) -> None:
+        n = self.units.n
+        stay = np.sort(np.argsort(-self.used[:n], kind="stable")[: n // 4])
+        for r in (self.units, *self.payloads):
+            r.keep(stay)
+        self.hash[: len(stay)], self.used[: len(stay)] = self.hash[stay], self.used[stay] // 2
+        self._clear()
+        self._insert(np.arange(len(stay)))
+
+
 STEP = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 

@@ -2,14 +2,16 @@
 
 Texts are dealt by ranges of doc_id and sorted within them, so file order is id order without one
 task seeing all rows. Each task fills shards of about SHARD ids. A shard is compressed by Re-Pair
-in rounds: the frequent pairs of adjacent symbols get nonterminals and are replaced at once
-(leftmost first where occurrences overlap), never across the end of a document. It stores the
+in rounds, until no pair of adjacent symbols is frequent: the frequent pairs get nonterminals and
+are replaced at once (leftmost first where occurrences overlap), never across the end of a document.
+A pair is frequent from LEAST occurrences in the shard: rarer rules would cost more than they save. It stores the
 rules, the ids each rule expands to, the symbols, and where each document's symbols begin, so one
 document can be decoded without the others.
 
 File format: Parquet rows (part, shard, start, n_tokens, doc_ids, doc_tokens, doc_symbols, base,
 rules, expansion, symbols); `start` counts the ids before the shard within its part; `rules` is
-little-endian uint16 pairs, `expansion` uint32 and `symbols` uint16.
+little-endian pairs and `symbols` a sequence of uint16 (uint32 where symbols are more than 65,536),
+`expansion` uint32.
 
 Defined results: null text is the empty text (the end id alone); null doc_id sorts first; rows of
 one doc_id lie next to each other in order of their text; an empty table gives no rows; extra
@@ -25,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import text_buffers, word_hashes
+from roadlens.llm.common import Known, Ragged, span_hashes, spread, text_buffers
 
 SHARD = 1 << 19
-ROUNDS = 4
-LEAST = 16  # occurrences from which a pair gets a rule
-PER_ROUND = 3500
+LEAST = 16  # occurrences from which a pair is frequent and gets a rule
+PER_ROUND = 3500  # rules at most; other frequent pairs wait for the next round
 BUCKETS = 18  # bits
-SLOTS = 1 << 21  # of the table of chunks; half of them are filled at most
+CHUNKS = 1 << 20  # distinct chunks that are kept
 
 
 @lru_cache(maxsize=2)
@@ -45,29 +46,36 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[32] = True
-_SAME = np.arange(256, dtype=np.uint8)
-_HEAD = np.uint64(0x5851F42D4C957F2D)
+_BYTES = np.arange(256)
+_LETTER = (_BYTES >= 65) & (_BYTES <= 90) | (_BYTES >= 97) & (_BYTES <= 122)
+_WHITE = (_BYTES >= 9) & (_BYTES <= 13) | (_BYTES == 32)
+_OTHER = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER
 
 
-def _opens_with_white_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether UTF-8 text at these places begins with white space other than a space (some other
-    characters count, too, but none is missed)."""
-    pad = np.r_[data, np.zeros(2, np.uint8)]
-    a, b, c = pad[at], pad[at + 1], pad[at + 2]
-    one = ((a >= 9) & (a <= 13)) | ((a >= 28) & (a <= 31))
-    return one | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where UTF-8 texts can be cut without changing their pre-tokens: before ASCII white space that
+    follows anything but white space, and between an ASCII letter and another ASCII character. (The
+    pattern ends a run of letters at anything else, and any token before white space; it looks
+    ahead only within white space, and never behind.) Includes each text's beginning."""
+    white, letter = _WHITE[data], _LETTER[data]
+    cut = np.zeros(len(data), bool)
+    a, b = data[:-1], data[1:]
+    solid = ~white[:-1] & (a > 32) & (a < 127)
+    # the last byte of a longer character, unless it may be white space
+    before = np.r_[np.uint8(0), data[:-2]]
+    solid |= (a >= 128) & ~((before == 0x80) | (before == 0x81) | (before == 0x9A) | (before == 0xC2) & ((a == 0x85) | (a == 0xA0)))
+    cut[1:] = solid & white[1:] | letter[:-1] & _OTHER[b]
+    cut[off[:-1][off[:-1] < off[1:]]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Ids of whole texts, each distinct chunk encoded once by the library.
+    """Ids of whole texts, each distinct chunk (chunk_starts) encoded once by the library.
 
-    The pre-tokenizer's pattern always ends a token before a space that a non-space follows, so a
-    text of words with single spaces between them falls into chunks, each with its leading space.
-    Chunks are hashed and looked up in arrays; new ones are encoded many at a time, joined, and told
-    apart by their lengths in bytes. Texts with other white space at a cut, or with an added token's
-    string, are encoded whole."""
+    Chunks are looked up in arrays (Known, which compares their bytes). New ones that begin with
+    white space, or follow a letter, are encoded many at a time, joined, and told apart by their
+    lengths in bytes; others, such as texts' first words, one by one. Texts that contain an added
+    token's string are encoded whole."""
 
     def __init__(self, path: str):
         import json
@@ -79,155 +87,105 @@ class Encoder:
         self.bytes_of = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), np.int64)
         for token, i in spec["model"]["vocab"].items():
             self.bytes_of[i] = len(token)  # one character stands for each byte
-        self._reset()
-
-    def _reset(self) -> None:
-        self.keys, self.rows = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.count, self.held = 0, 0
-        self.at, self.size = np.zeros(SLOTS // 2, np.int64), np.zeros(SLOTS // 2, np.int32)
-        self.flat = np.zeros(1 << 20, np.uint16)
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The row of each key, -1 for new ones."""
-        out = np.full(len(h), -1, np.int64)
-        todo, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        while len(todo):
-            k = self.keys[slot]
-            same = k == h[todo]
-            out[todo[same]] = self.rows[slot[same]]
-            on = ~same & (k != 0)
-            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
-        return out
-
-    def _add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        """Rows for new distinct keys."""
-        n = len(h)
-        while self.held + len(ids) > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint16)]
-        self.flat[self.held : self.held + len(ids)] = ids
-        self.at[self.count : self.count + n] = self.held + np.cumsum(size) - size
-        self.size[self.count : self.count + n] = size
-        todo, slot = np.arange(n), (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        while len(todo):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[todo[free]]
-            mine = free & (self.keys[slot] == h[todo])
-            self.rows[slot[mine]] = self.count + todo[mine]
-            todo, slot = todo[~mine], (slot[~mine] + 1) & (SLOTS - 1)
-        self.count, self.held = self.count + n, self.held + len(ids)
+        self.ids = Ragged(np.uint16)
+        self.chunks = Known(CHUNKS, np.uint8, [self.ids])
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, one after the other, and how many each has. All begin with a space."""
-        groups = [b"".join(chunks[x : x + 256]).decode() for x in range(0, len(chunks), 256)]
+    def _joined(self, chunks: list[bytes], between: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of joined chunks between which, and `between`, texts can be cut, and where those of
+        each chunk begin and end."""
+        groups = [between.join(chunks[x : x + 128]).decode() for x in range(0, len(chunks), 128)]
         ids = np.concatenate(self._library(groups))
         ends = np.cumsum(self.bytes_of[ids])
-        upto = np.searchsorted(ends, np.cumsum([len(c) for c in chunks])) + 1
-        return ids, np.diff(np.r_[0, upto])
+        size = np.array([len(c) for c in chunks], np.int64)
+        gap = np.full(len(chunks), len(between), np.int64)
+        gap[127::128] = 0
+        upto = np.cumsum(size + gap) - gap
+        return ids, np.searchsorted(ends, upto - size, "right"), np.searchsorted(ends, upto) + 1
+
+    def _each(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = self._library([c.decode() for c in chunks])
+        upto = np.cumsum([len(p) for p in parts])
+        return np.concatenate(parts), np.r_[0, upto[:-1]], upto
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Add the ids of new chunks."""
+        first = np.array([c[0] for c in chunks])
+        last = np.array([c[-1] for c in chunks])
+        ends = (last > 32) & (last < 127)
+        spaced, after = ends & _WHITE[first], ends & _OTHER[first]
+        flat, at, size, held = [], np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), 0
+        for own, between in ((spaced, b""), (after, b" a"), (~spaced & ~after, None)):
+            own = np.flatnonzero(own)
+            if len(own):
+                some = [chunks[i] for i in own.tolist()]
+                ids, begin, end = self._each(some) if between is None else self._joined(some, between)
+                flat.append(ids)
+                at[own], size[own] = begin + held, end - begin
+                held += len(ids)
+        self.ids.extend(np.concatenate(flat)[spread(at, size)], size)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids (uint16) of each text of a buffer."""
-        out: list[np.ndarray | None] = [None] * (len(off) - 1)
-        raw = data[off[0] : off[-1]].tobytes() if len(off) else b""
-        special = any(a in raw for a in self.added)
-        regular, hs, starts, ends, whole = [], [], [], [], []
-        for d, h, s, e in word_hashes(data, off, _SPACE, _SAME):
-            a, n = int(off[d]), int(off[d + 1] - off[d])
-            if not n:
-                out[d] = np.zeros(0, np.uint16)
-            elif not len(h) or s[0] or e[-1] != n or n - int((e - s).sum()) != len(h) - 1 or special and any(x in raw[a - off[0] : a - off[0] + n] for x in self.added):
-                whole.append(d)
-            else:
-                regular.append((d, len(h)))
-                h = h.copy()
-                h[0] ^= _HEAD
-                hs.append(h)
-                starts.append(s + a)
-                ends.append(e + a)
-        if regular:
-            h, s, e = map(np.concatenate, (hs, starts, ends))
-            h = np.where(h == 0, np.uint64(1), h)
-            first = np.cumsum([0] + [n for _, n in regular])
-            odd = _opens_with_white_space(data, s)
-            odd[first[:-1]] = False
-            if odd.any():
-                bad = np.add.reduceat(odd, first[:-1]) > 0
-                whole += [d for (d, _), b in zip(regular, bad) if b]
-                keep = np.repeat(~bad, np.diff(first))
-                h, s, e = h[keep], s[keep], e[keep]
-                regular = [r for r, b in zip(regular, bad) if not b]
-                first = np.cumsum([0] + [n for _, n in regular])
-        if regular:
-            row = self._find(h)
-            if (row < 0).any():
-                heads = np.zeros(len(h), bool)
-                heads[first[:-1]] = True
-                new, where = np.unique(h[row < 0], return_index=True)
-                if self.count + len(new) > len(self.at):
-                    self._reset()
-                    row[:] = -1
-                    new, where = np.unique(h, return_index=True)
-                where = np.flatnonzero(row < 0)[where]
-                head = heads[where]
-                rest = where[~head]
-                if len(rest):
-                    ids, size = self._chunks([b" " + data[x:y].tobytes() for x, y in zip(s[rest].tolist(), e[rest].tolist())])
-                    self._add(h[rest], ids, size)
-                own = where[head]
-                if len(own):
-                    parts = self._library([data[x:y].tobytes().decode() for x, y in zip(s[own].tolist(), e[own].tolist())])
-                    self._add(h[own], np.concatenate(parts), np.array([len(p) for p in parts]))
-                row = self._find(h)
-            size = self.size[row].astype(np.int64)
-            upto = np.cumsum(size)
-            ids = self.flat[np.arange(upto[-1]) + np.repeat(self.at[row] - (upto - size), size)]
-            cut = np.r_[0, upto][first]
-            for k, (d, _) in enumerate(regular):
-                out[d] = ids[cut[k] : cut[k + 1]]
-        if whole:
-            texts = [data[off[d] : off[d + 1]].tobytes().decode() for d in whole]
-            for d, ids in zip(whole, self._library(texts)):
-                out[d] = ids
+        data, off = data[off[0] : off[-1]], off - off[0]
+        if not len(data):
+            return [np.zeros(0, np.uint16)] * (len(off) - 1)
+        raw = data.tobytes()
+        s = chunk_starts(data, off)
+        e = np.r_[s[1:], len(data)]
+        rows = self.chunks.rows(span_hashes(data, s, e), data, s, e, lambda new: self._learn([raw[x:y] for x, y in zip(s[new].tolist(), e[new].tolist())]))
+        if rows is None:  # more distinct chunks than are kept
+            return [x for d in range(len(off) - 1) for x in self._library([raw[off[d] : off[d + 1]].decode()])]
+        ids, size = self.ids.take(rows)
+        upto = np.r_[0, np.cumsum(size)][np.searchsorted(s, off)].tolist()
+        out = [ids[a:b] for a, b in zip(upto, upto[1:])]
+        if any(a in raw for a in self.added):
+            for d in range(len(out)):
+                text = raw[off[d] : off[d + 1]]
+                if any(a in text for a in self.added):
+                    out[d], = self._library([text.decode()])
         return out
 
+
 # ---------------------------------------------------------------------------------- Re-Pair
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int):
-    """(symbols, where each document's symbols begin and end, rules, expansion lengths) of ids
-    uint16; ends: each document's end."""
-    seq = ids.astype(np.uint16)
+    """(symbols, where each document's symbols begin and end, rules, expansion lengths) of ids;
+    ends: each document's end. Rounds go on until no pair of adjacent symbols is frequent.
+
+    A pair that isn't frequent never becomes so, as replacing makes no new pair of old symbols; so
+    after the first round only frequent pairs and those with a new symbol are counted."""
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
+    live = np.flatnonzero(~last)  # where a pair begins that may be frequent
     rules, length = [], []
     top = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or top >= 65_536:
-            break
-        key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+    bucket_of = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+    while len(live) >= LEAST:
+        key = (seq[live].astype(np.uint64) << np.uint64(32)) | seq[live + 1]
         # a bucket counts at least as much as each of its pairs, so most places drop out here
-        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS)
-        inner = ~last[:-1]
-        often = (np.bincount(bucket[inner], minlength=1 << BUCKETS) >= LEAST)[bucket] & inner
-        spots = np.flatnonzero(often)
-        some = np.sort(key[spots])
+        bucket = bucket_of(key)
+        often = (np.bincount(bucket, minlength=1 << BUCKETS) >= LEAST)[bucket]
+        live, key, bucket = live[often], key[often], bucket[often]
+        some = np.sort(key)
         at = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
         times = np.diff(np.r_[at, len(some)])
         good = np.flatnonzero(times >= LEAST)
         if not len(good):
             break
-        good = good[np.argsort(-times[good], kind="stable")[: min(PER_ROUND, 65_536 - top)]]
+        good = good[np.argsort(-times[good], kind="stable")[:PER_ROUND]]
         chosen = some[at[good]]
         # one pair per bucket, the most frequent; others wait for the next round
-        of = (chosen * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS)
-        chosen = np.sort(chosen[np.sort(np.unique(of, return_index=True)[1])])
+        chosen = np.sort(chosen[np.unique(bucket_of(chosen), return_index=True)[1]])
         slot = np.zeros(1 << BUCKETS, np.int64)
-        slot[(chosen * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS)] = np.arange(len(chosen))
-        which = slot[bucket[spots]]
-        hit = chosen[which] == key[spots]
-        spots, which = spots[hit], which[hit]
+        slot[bucket_of(chosen)] = np.arange(len(chosen))
+        which = slot[bucket]
+        hit = chosen[which] == key
+        spots, which = live[hit], which[hit]
         # of overlapping occurrences, every second one from the left of their run
         new_run = np.r_[True, spots[1:] != spots[:-1] + 1]
         run_at = spots[np.maximum.accumulate(np.where(new_run, np.arange(len(spots)), 0))]
@@ -235,39 +193,54 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int):
         spots, which = spots[take], which[take]
         used, which = np.unique(which, return_inverse=True)
         chosen = chosen[used]
-        left, right = (chosen >> np.uint32(16)).astype(np.int64), (chosen & np.uint32(0xFFFF)).astype(np.int64)
+        left, right = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
         known = np.array(length, np.int64)
         size = lambda s: np.where(s < base, 1, known[np.maximum(s - base, 0)]) if len(known) else np.ones(len(s), np.int64)
         rules.append(np.stack([left, right], 1))
         length += (size(left) + size(right)).tolist()
         keep = np.ones(len(seq), bool)
         keep[spots + 1] = False
-        seq[spots] = (top + which).astype(np.uint16)
+        seq[spots] = top + which
         last[spots] = last[spots + 1]
+        maybe = np.zeros(len(seq), bool)
+        maybe[live] = maybe[spots] = True
+        maybe = maybe[keep]
         seq, last = seq[keep], last[keep]
+        now = spots - np.arange(len(spots))  # each spot has one place less before it per earlier spot
+        maybe[np.maximum(now - 1, 0)] = True
+        live = np.flatnonzero(maybe & ~last)
         top += len(chosen)
     sym_ends = np.flatnonzero(last) + 1
-    table = np.concatenate(rules).astype(np.uint16) if rules else np.zeros((0, 2), np.uint16)
-    return seq, np.r_[0, sym_ends], table, np.array(length, np.uint32)
+    kind = symbol_kind(top - base, base)
+    table = np.concatenate(rules).astype(kind) if rules else np.zeros((0, 2), kind)
+    return seq.astype(kind), np.r_[0, sym_ends], table, np.array(length, np.uint32)
+
+
+def symbol_kind(rules: int, base: int) -> str:
+    """How symbols lie in a file: two bytes each where that is enough."""
+    return "<u2" if base + rules <= 1 << 16 else "<u4"
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, where, how many): what every symbol stands for. A rule only uses earlier ones."""
-    parts = [np.arange(base, dtype=np.uint16)]
-    done: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        done.append(np.concatenate([done[x - base] if x >= base else parts[0][x : x + 1] for x in (a, b)]))
-    size = np.r_[np.ones(base, np.int64), np.array([len(d) for d in done], np.int64)]
-    return np.concatenate([*parts, *done]), np.cumsum(size) - size, size
+    flat, size = np.arange(base, dtype=np.uint32), np.ones(base, np.int64)
+    where, done = np.arange(base), 0
+    newest = rules.max(axis=1).astype(np.int64) - base if len(rules) else np.zeros(0, np.int64)
+    while done < len(rules):  # as many rules at once as use only what is known
+        more = np.flatnonzero(newest[done:] >= done)
+        end = done + int(more[0]) if len(more) else len(rules)
+        part = rules[done:end].ravel().astype(np.int64)
+        n = size[part].reshape(-1, 2).sum(axis=1)
+        where = np.r_[where, len(flat) + np.cumsum(n) - n]
+        flat, size, done = np.r_[flat, flat[spread(where[part], size[part])]], np.r_[size, n], end
+    return flat, where, size
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for; works on any slice of a shard's symbols."""
     flat, where, size = expansions(rules, base)
     s = symbols.astype(np.int64)
-    n = size[s]
-    upto = np.cumsum(n)
-    return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(where[s] - (upto - n), n)]
+    return flat[spread(where[s], size[s])]
 
 
 _SHARDS = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>, base int, rules binary, expansion binary, symbols binary"
@@ -286,7 +259,7 @@ def _shards(path: str, end_id: int):
         def flush():
             lens = np.array([len(p) + 1 for p in parts[::2]], np.int64)
             symbols, at, rules, length = compress(np.concatenate(parts), np.cumsum(lens), base)
-            row = {"part": part, "shard": shard, "start": start, "n_tokens": int(lens.sum()), "doc_ids": doc_ids, "doc_tokens": lens.tolist(), "doc_symbols": at.tolist(), "base": base, "rules": rules.astype("<u2").tobytes(), "expansion": length.astype("<u4").tobytes(), "symbols": symbols.astype("<u2").tobytes()}
+            row = {"part": part, "shard": shard, "start": start, "n_tokens": int(lens.sum()), "doc_ids": doc_ids, "doc_tokens": lens.tolist(), "doc_symbols": at.tolist(), "base": base, "rules": rules.tobytes(), "expansion": length.astype("<u4").tobytes(), "symbols": symbols.tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("doc_symbols", pa.list_(pa.int64())), ("base", pa.int32()), ("rules", pa.binary()), ("expansion", pa.binary()), ("symbols", pa.binary())])
@@ -324,10 +297,11 @@ def _documents(full: bool):
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch.column(c)[r] for c, n in enumerate(batch.schema.names)}
-                rules, base = _unpack(row["rules"], "<u2").reshape(-1, 2), row["base"].as_py()
-                symbols, at = _unpack(row["symbols"], "<u2"), row["doc_symbols"].as_py()
+                base, length = row["base"].as_py(), _unpack(row["expansion"], "<u4")
+                kind = symbol_kind(len(length), base)
+                rules, symbols, at = _unpack(row["rules"], kind).reshape(-1, 2), _unpack(row["symbols"], kind), row["doc_symbols"].as_py()
                 whole = expand(symbols, rules, base).astype("<u4")
-                length = np.r_[np.ones(base, np.int64), _unpack(row["expansion"], "<u4")][symbols.astype(np.int64)]
+                length = np.r_[np.ones(base, np.int64), length][symbols.astype(np.int64)]
                 ends = np.r_[0, np.cumsum(length)][at]
                 ids = [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
                 n = len(ids)
@@ -360,5 +334,6 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | No
     if row is None:
         return None
     k = row.doc_ids.index(doc_id)
-    part = np.frombuffer(row.symbols, "<u2")[row.doc_symbols[k] : row.doc_symbols[k + 1]]
-    return expand(part, np.frombuffer(row.rules, "<u2").reshape(-1, 2), row.base).tolist()
+    kind = symbol_kind(len(row.expansion) // 4, row.base)
+    part = np.frombuffer(row.symbols, kind)[row.doc_symbols[k] : row.doc_symbols[k + 1]]
+    return expand(part, np.frombuffer(row.rules, kind).reshape(-1, 2), row.base).tolist()
