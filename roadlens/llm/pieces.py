@@ -1,32 +1,36 @@
 """Encoding and decoding with a SentencePiece BPE model by vectorised merge rounds.
 
 No piece of such a model has its word mark after another character, so merges never cross the start
-of a marked word and every distinct word is encoded once. The words of a batch lie in one flat
-symbol array; each round finds every word's smallest (rank, position) among its adjacent pairs with
-one segmented minimum, merges these leftmost pairs at once, and compacts the array to the words
-that still have a pair. A word of more than LONG characters goes through a priority queue instead
-(the same merges in the same order), as rounds would be quadratic there.
+of a marked word and every distinct word is encoded once; nor do they cross two characters that
+stand side by side in no piece, so words fall into parts there. The parts of a batch lie in one flat
+symbol array with the rank of every adjacent pair. Each round finds every part's smallest rank by
+one segmented minimum, merges that rank's occurrences at once, from the left where they overlap, and
+compacts the array to the parts that still have a pair. One queue would take these merges in the
+same order unless a merge makes a pair of no higher rank than its own; where one does, the part
+makes its leftmost merge only in that round.
 
-Defined results: null text encodes as the empty text (no ids); repeated rows are encoded each; an
-empty table gives no rows; extra columns are not read."""
+Words are looked up in arrays (Known, which compares their bytes); texts are gathered from their
+words' ids. A word of any length goes through the same rounds.
+
+Defined results: null text encodes as the empty text (no ids); repeated rows are encoded each; null
+doc_id is kept; an empty table gives no rows; extra columns are not read."""
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadlens.llm.common import Known, Ragged, documents_in_pieces, mix, span_hashes, spread, text_buffers
+
 MARK = "▁"
-LONG = 200
-NONE = np.int64(2**62)
-CACHED = 250_000
+NONE = np.int32(2**31 - 1)
+CACHED = 1 << 19  # distinct words that are kept
+PART = 1 << 20  # bytes of text whose words are looked up at once, but for single longer texts
 
 
 class Pieces:
@@ -49,121 +53,148 @@ class Pieces:
         assert not any(MARK in p.lstrip(MARK) for p in pieces), "a piece spans the start of a word"
         chars = sorted({c for p in pieces for c in p} - set(pieces))  # parts of pieces only
         self.vocabulary, self.size = n, n + len(chars)
+        self.width = np.ones(n, np.int64)
+        for p, i in pieces.items():
+            self.width[i] = len(p)
         symbol = pieces | {c: n + i for i, c in enumerate(chars)}
         self.of_char = np.full(0x110000, -1, np.int64)
         for s, i in symbol.items():
             if len(s) == 1:
                 self.of_char[ord(s)] = i
         order = {s: r for r, s in enumerate(sorted({-x for x in score.values()}))}
-        pairs = {}
+        pairs, beside = {}, set()
         for p, i in pieces.items():
+            beside.update(zip(p, p[1:]))
             for c in range(1, len(p)):
                 a, b = symbol.get(p[:c]), symbol.get(p[c:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = (order[-score[p]], i)
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
-
-    def _lookup(self, left: np.ndarray, right: np.ndarray):
-        """(rank, index of the merge) of each pair; NONE where there is none."""
-        key = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE), at
-
-    def _long(self, sym: list[int]) -> list[int]:
-        """The same merges by a priority queue over a linked list."""
-        n = len(sym)
-        nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = []
-
-        def offer(i, j):
-            if i >= 0 and j < n and sym[i] >= 0 and sym[j] >= 0 and (m := self.pairs.get(sym[i] * self.size + sym[j])):
-                heapq.heappush(heap, (m[0], i, j, sym[i], sym[j], m[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, a, b, m = heapq.heappop(heap)
-            if not (alive[i] and alive[j] and sym[i] == a and sym[j] == b and nxt[i] == j):
-                continue
-            sym[i], alive[j], nxt[i] = m, False, nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            offer(prv[i], i)
-            offer(i, nxt[i])
-        return [s for s, k in zip(sym, alive) if k]
+        self.beside = np.array(sorted(ord(a) << 21 | ord(b) for a, b in beside), np.int64)
+        keys = np.array(list(pairs), np.int64)
+        self.slots = 1 << (4 * len(pairs)).bit_length()
+        self.key, self.rank, self.merged = np.full(self.slots, -1, np.int64), np.full(self.slots, NONE), np.zeros(self.slots, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.key[slot] < 0
+            self.key[slot[free]] = keys[todo[free]]
+            on = self.key[slot] != keys[todo]
+            todo, slot = todo[on], (slot[on] + 1) & (self.slots - 1)
+        at = self._place(keys)
+        self.rank[at], self.merged[at] = np.array(list(pairs.values()), np.int32).T
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key.astype(np.uint64)) & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        """Where a pair's rank and merge lie, or a slot without any."""
+        slot = self._slot(key)
+        todo = np.flatnonzero((self.key[slot] != key) & (self.key[slot] >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
+            got = self.key[slot[todo]]
+            todo = todo[(got != key[todo]) & (got >= 0)]
+        return slot
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of each pair of symbols; rank NONE where there is no merge."""
+        known = (left >= 0) & (right >= 0)
+        at = self._place(np.where(known, left.astype(np.int64) * self.size + right, 0))
+        return np.where(known & (self.key[at] == left.astype(np.int64) * self.size + right), self.rank[at], NONE), self.merged[at]
+
+    def _rounds(self, sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of parts, the q-th from first[q], merged: (symbols, how many each part has left)."""
+        sym = sym.astype(np.int32)
+        size = np.diff(np.r_[first, len(sym)])
+        rank, into = np.full(len(sym), NONE), np.zeros(len(sym), np.int32)
+        if len(sym) > 1:
+            rank[:-1], into[:-1] = self._pairs(sym[:-1], sym[1:])
+        rank[first + size - 1] = NONE
+        part, done = np.arange(len(first)), []
+        left_over = np.zeros(len(first), np.int64)
+        while len(part):
+            first = np.cumsum(size) - size
+            low = np.minimum.reduceat(rank, first)
+            going = low < NONE
+            if not going.all():
+                done.append((part[~going], size[~going], sym[np.repeat(~going, size)]))
+                still = np.repeat(going, size)
+                sym, rank, into = sym[still], rank[still], into[still]
+                part, size, low = part[going], size[going], low[going]
+                if not len(part):
+                    break
+                first = np.cumsum(size) - size
+            spot = np.flatnonzero(rank == np.repeat(low, size))
+            run = np.r_[True, spot[1:] != spot[:-1] + 1]
+            spot = spot[((spot - spot[np.maximum.accumulate(np.where(run, np.arange(len(spot)), 0))]) & 1) == 0]
+            own = np.searchsorted(first, spot, "right") - 1
+            alone = np.r_[True, own[1:] != own[:-1]]
+
+            def around(spot, own):
+                new = into[spot]
+                has_left, has_right = spot > first[own], spot + 2 < (first + size)[own]
+                # a left neighbour may have been merged in this round: then it ends two places before
+                near = np.r_[False, spot[1:] == spot[:-1] + 2] & has_left
+                left = np.where(near, np.r_[np.int32(0), new[:-1]], sym[np.maximum(spot - 1, 0)])
+                before, after = (self._pairs(a, b) for a, b in ((left, new), (new, sym[np.minimum(spot + 2, len(sym) - 1)])))
+                return new, has_left, has_right, near, (np.where(has_left, before[0], NONE), before[1]), (np.where(has_right, after[0], NONE), after[1])
+
+            found = around(spot, own)
+            early = (found[4][0] <= low[own]) | (found[5][0] <= low[own])
+            if (early & ~(alone & np.r_[alone[1:], True])).any():
+                hasty = np.zeros(len(part), bool)
+                hasty[own[early]] = True
+                keep = alone | ~hasty[own]
+                spot, own = spot[keep], own[keep]
+                found = around(spot, own)
+            new, has_left, _, near, before, after = found
+            sym[spot], rank[spot], into[spot] = new, *after
+            behind = np.where(near, spot - 2, spot - 1)[has_left]
+            rank[behind], into[behind] = before[0][has_left], before[1][has_left]
+            stay = np.ones(len(sym), bool)
+            stay[spot + 1] = False
+            sym, rank, into = sym[stay], rank[stay], into[stay]
+            size = size - np.bincount(own, minlength=len(size))
+        for p, n, _ in done:
+            left_over[p] = n
+        out = np.zeros(int(left_over.sum()), np.int32)
+        at = np.cumsum(left_over) - left_over
+        for p, n, syms in done:
+            out[spread(at[p], n)] = syms
+        return out, left_over
+
+    def encode_flat(self, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many) of words of `size` characters (code points `code`, marks included)."""
+        if not len(code):
+            return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
+        word = np.repeat(np.arange(len(size)), size)
+        key = code[:-1].astype(np.int64) << 21 | code[1:]
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        first = np.flatnonzero(np.r_[True, (self.beside[at] != key) | (word[1:] != word[:-1])])
+        sym, n = self._rounds(self.of_char[code], first)
+        owner = np.repeat(word[first], n)
+        # a character outside the vocabulary becomes the ids of its bytes
+        odd = np.flatnonzero((sym < 0) | (sym >= self.vocabulary))
+        if len(odd):
+            width = np.ones(len(sym), np.int64)
+            inside = (sym >= 0) & (sym < self.vocabulary)
+            width[inside] = self.width[sym[inside]]
+            place = (np.cumsum(width) - width)[odd]
+            text = code[place].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+            raw = [self.byte[list(c.encode("utf-8", "surrogatepass"))] for c in text]
+            many = np.ones(len(sym), np.int64)
+            many[odd] = [len(r) for r in raw]
+            start = np.cumsum(many) - many
+            sym, owner, old = np.repeat(sym, many), np.repeat(owner, many), sym
+            sym[spread(start[odd], many[odd])] = np.concatenate(raw)
+        return sym.astype(np.int32), np.bincount(owner, minlength=len(size))
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word. Words carry their marks."""
-        out: list[list[int] | None] = [None] * len(words)
-        short = []
-        for w, word in enumerate(words):
-            if len(word) > LONG:
-                code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
-                out[w] = self._ids(self._long(self.of_char[code].tolist()), word)
-            elif word:
-                short.append(w)
-            else:
-                out[w] = []
-        if not short:
-            return out
-        lengths = np.array([len(words[w]) for w in short])
-        code = np.frombuffer("".join([words[w] for w in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym, word = self.of_char[code], np.repeat(np.arange(len(short)), lengths)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(sym):
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            rank, merge = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
-            if len(sym) > 1:
-                r, merge[:-1] = self._lookup(sym[:-1], sym[1:])
-                rank[:-1] = np.where(word[1:] == word[:-1], r, NONE)
-            at = np.where(rank < NONE, (rank << 32) | np.arange(len(sym)), NONE)
-            low = np.minimum.reduceat(at, first)
-            going = low < NONE
-            spot = low[going] & 0xFFFFFFFF
-            sym = sym.copy()
-            sym[spot] = self.merged[merge[spot]]
-            keep = np.ones(len(sym), bool)
-            keep[spot + 1] = False
-            still = np.repeat(going, np.diff(np.r_[first, len(sym)]))
-            done.append((word[~still], sym[~still]))
-            sym, word = sym[still & keep], word[still & keep]
-        words_of, syms = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-        by = np.argsort(words_of, kind="stable")
-        words_of, syms = words_of[by], syms[by]
-        cuts = np.searchsorted(words_of, np.arange(len(short) + 1)).tolist()
-        syms = syms.tolist()
-        for q, w in enumerate(short):
-            out[w] = self._ids(syms[cuts[q] : cuts[q + 1]], words[w])
-        return out
-
-    def _ids(self, syms: list[int], word: str) -> list[int]:
-        """Symbols to ids: a character outside the vocabulary becomes the ids of its bytes."""
-        if not any(s < 0 or s >= self.vocabulary for s in syms):
-            return syms
-        ids, at = [], 0
-        for s in syms:
-            if 0 <= s < self.vocabulary:
-                ids.append(s)
-                at += len(self.lib.id_to_piece(s))
-            else:
-                ids += self.byte[list(word[at].encode("utf-8", "surrogatepass"))].tolist()
-                at += 1
-        return ids
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """The marked words of a text; joined they give the escaped text."""
-        if not text:
-            return []
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            return _WORDS.findall(MARK + text.replace(" ", MARK))
-        return (MARK + text.replace(" ", " " + MARK)).split(" ")
-
-
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*")
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, n = self.encode_flat(code, np.array([len(w) for w in words], np.int64))
+        cut = np.r_[0, np.cumsum(n)].tolist()
+        flat = ids.tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -171,31 +202,77 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+class Encoder:
+    """Ids and their decimal numbers, joined, of whole texts, by a table of marked words."""
+
+    def __init__(self, path: str):
+        self.model = pieces(path)
+        self.ids, self.said = Ragged(np.int32), Ragged(np.uint8)
+        self.words = Known(CACHED, np.uint8, [self.ids, self.said])
+        numbers = Ragged(np.uint8)
+        texts = [f"{i},".encode() for i in range(self.model.vocabulary)]
+        numbers.extend(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64))
+        self.numbers = numbers
+
+    def encode(self, texts: list[str]):
+        """(ids, sizes by text, numbers, sizes by text): each text's ids, and the same as decimal
+        numbers that each end with a comma."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        data, off = text_buffers(pa.array(marked, pa.large_string()))
+        if not len(data):
+            z = np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), z, np.zeros(0, np.uint8), z
+        # words begin at marks (bytes E2 96 81) that don't follow another
+        mark = np.zeros(len(data), bool)
+        mark[:-2] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+        begins = mark.copy()
+        begins[3:] &= ~mark[:-3]
+        begins[off[:-1][off[:-1] < off[1:]]] = True
+        s = np.flatnonzero(begins)
+        e = np.r_[s[1:], len(data)]
+
+        def learn(new):
+            raw = data[spread(s[new], (e - s)[new])].tobytes()
+            code = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+            chars = np.add.reduceat((data & 0xC0) != 0x80, s)[new]
+            ids, n = self.model.encode_flat(code, chars)
+            self.ids.extend(ids, n)
+            flat, width = self.numbers.take(ids)
+            self.said.extend(flat, np.add.reduceat(width, np.cumsum(n) - n))
+
+        rows = self.words.rows(span_hashes(data, s, e), data, s, e, learn)
+        first = np.searchsorted(s, off)
+        if rows is None:  # more distinct words than are kept: all are encoded, as they come
+            code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+            ids, n = self.model.encode_flat(code, np.add.reduceat((data & 0xC0) != 0x80, s))
+            flat, width = self.numbers.take(ids)
+            width = np.add.reduceat(width, np.cumsum(n) - n)
+        else:
+            (ids, n), (flat, width) = self.ids.take(rows), self.said.take(rows)
+        return ids, np.diff(np.r_[0, np.cumsum(n)][first]), flat, np.diff(np.r_[0, np.cumsum(width)][first])
+
+
 def _encoder(path: str, digests: bool):
     def run(batches):
-        model = pieces(path)
-        ids_of: dict[str, list[int]] = {}
-        said: dict[str, str] = {}
+        enc = Encoder(path)
+        lib = enc.model.lib
+        sha = lambda b: hashlib.sha256(b).hexdigest()
         for whole in batches:
-            for x in range(0, whole.num_rows, 256):
-                batch = whole.slice(x, 256)
-                split = [model.words(t or "") for t in batch.column(1).to_pylist()]
-                new = list(set(chain.from_iterable(split)) - ids_of.keys())
-                if len(ids_of) + len(new) > CACHED:
-                    ids_of, said = {}, {}
-                    new = list(set(chain.from_iterable(split)))
-                for word, ids in zip(new, model.encode_words(new)):
-                    ids_of[word] = ids
-                    said[word] = ",".join(map(str, ids))
-                ids = [list(chain.from_iterable(map(ids_of.__getitem__, ws))) for ws in split]
-                cols = [batch.column(0)]
-                if digests:
-                    cols += [pa.array([len(i) for i in ids], pa.int64())]
-                    cols += [pa.array([hashlib.sha256(",".join(map(said.__getitem__, ws)).encode()).hexdigest() for ws in split])]
-                    cols += [pa.array([hashlib.sha256(model.lib.decode(i).encode("utf-8", "surrogatepass")).hexdigest() for i in ids])]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            _, off = text_buffers(whole.column(1))
+            for a, b in documents_in_pieces(off, PART):
+                batch = whole.slice(a, b - a)
+                ids, n, said, width = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+                upto = np.cumsum(n)
+                if not digests:
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, upto], pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+                    continue
+                raw, end = said.tobytes(), np.cumsum(width)
+                cols = [batch.column(0), pa.array(n, pa.int64())]
+                cols += [pa.array([sha(raw[x : max(x, y - 1)]) for x, y in zip((end - width).tolist(), end.tolist())], pa.string())]
+                flat = ids.tolist()
+                cols += [pa.array([sha(lib.decode(flat[x:y]).encode("utf-8", "surrogatepass")) for x, y in zip((upto - n).tolist(), upto.tolist())], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
