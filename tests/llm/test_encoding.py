@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from roadlens.llm import packing, pieces, token_files
-from roadlens.llm.common import text_buffers
+from roadlens.llm.common import Known, Ragged, spread, text_buffers, word_hashes
 
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a \n b", "\n \n", "x\t y", "it's  'll <|endoftext|> x", "日本 語 𝕏 \u0000", "\u0000 \u0000x", "▁a ▁▁ b", "▁", "a" * 500 + " " + "ab" * 300, "!" * 1000, "\u3000 a", "a \u3000b", "éé ö\r\n  z", "<s> </s> <0x41>", "   ", "thisisaverylongwordwithoutspaces" * 40]
 BYTE, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -22,15 +22,30 @@ def texts(n=200):
     return ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 300))) for _ in range(n)]
 
 
-def test_pieces_equal_the_library():
-    p, all_texts = pieces.Pieces(PIECE), texts()
-    words = [p.words(t) for t in all_texts]
-    flat = sorted({w for ws in words for w in ws})
-    ids = dict(zip(flat, p.encode_words(flat)))
-    assert [[i for w in ws for i in ids[w]] for ws in words] == p.lib.encode(all_texts)
-    for w in [w for w in flat if w][:400]:  # the queue makes the same merges as the rounds
-        code = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-        assert p._ids(p._long(p.of_char[code].tolist()), w) == ids[w]
+def split(ids, sizes):
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+@pytest.mark.parametrize("kept", [1 << 16, 512, 4])
+def test_pieces_equal_the_library(monkeypatch, kept):
+    monkeypatch.setattr(pieces, "CACHED", kept)
+    enc, all_texts = pieces.Encoder(PIECE), texts()
+    want = enc.model.lib.encode(all_texts)
+    for _ in range(2):  # new words, then known ones
+        for x in range(0, len(all_texts), 16):
+            ids, n, said, width = enc.encode(all_texts[x : x + 16])
+            assert split(ids, n) == want[x : x + 16]
+            assert [bytes(b) for b in split(said, width)] == ["".join(f"{i}," for i in w).encode() for w in want[x : x + 16]]
+
+
+def test_rounds_equal_the_library():
+    p, rng = pieces.pieces(PIECE), random.Random(4)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    words = ["▁" + "".join(rng.choice(letters[:k]) for _ in range(n)) for k in (1, 2, 3, 5, 26) for n in (1, 2, 3, 7, 30, 300, 4000)]
+    words += ["▁" * n for n in range(2, 40)] + ["▁" + "日本語" * 2000, "▁" + "the" * 3000, "▁" + "aab" * 999 + "\x00é"]
+    words += ["▁" + "".join(p.lib.id_to_piece(rng.randrange(260, 32_000)).replace("▁", "") for _ in range(60)) for _ in range(300)]
+    want = p.lib.encode([w[1:].replace("▁", " ") for w in words])
+    assert p.encode_words(words) == want
 
 
 def test_sentencepiece_digests(spark):
@@ -56,8 +71,46 @@ def test_chunks_equal_the_library():
         assert [ids.tolist() for ids in enc.encode(data, off)] == want
 
 
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+def test_chunks_whose_hashes_could_agree():
+    """Polynomial hashes modulo 2^64 agree for these two words, whatever the base."""
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    enc = token_files.Encoder(BYTE)
+    for t in (f"x {a} y", f"x {b} y", f"x {a}{b}"):
+        assert [ids.tolist() for ids in enc.encode(*text_buffers(pa.array([t])))] == [enc.tok.encode(t, add_special_tokens=False).ids]
+    h = [h for _, h, _, _ in word_hashes(*text_buffers(pa.array([a, b])))]
+    assert h[0][0] != h[1][0]
+
+
+def test_known_words_of_one_hash():
+    """Rows are told apart by their units where all hashes agree."""
+    words, got = [b"one", b"two", b"three", b"four"], Ragged(np.uint8)
+    known = Known(16, np.uint8, [got])
+    for turn in (words, words[::-1], [*words, b"one", b"five"]):
+        data = np.frombuffer(b"".join(turn), np.uint8)
+        e = np.cumsum([len(w) for w in turn])
+        s = e - [len(w) for w in turn]
+        rows = known.rows(np.full(len(turn), 7, np.uint64), data, s, e, lambda new: got.extend(data[spread(s[new], (e - s)[new])], (e - s)[new]))
+        assert [got.take(rows[i : i + 1])[0].tobytes() for i in range(len(turn))] == turn
+
+
+def test_chunks_with_odd_white_space():
+    enc, rng = token_files.Encoder(BYTE), random.Random(12)
+    alphabet = ["a", "B", "é", "'", "s", "ll", ",", " ", " ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\u1680", "\x85", "\x1f", "\x00", "1", "日", "𝕏", "\u0301", "<|endoftext|>"]
+    some = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    want = [e.ids for e in enc.tok.encode_batch(some, add_special_tokens=False)]
+    assert [ids.tolist() for ids in enc.encode(*text_buffers(pa.array(some)))] == want
+
+
 def test_more_chunks_than_are_kept(monkeypatch):
-    monkeypatch.setattr(token_files, "SLOTS", 256)
+    monkeypatch.setattr(token_files, "CHUNKS", 128)
     enc = token_files.Encoder(BYTE)
     for k in range(6):
         some = [" ".join(f"w{k * 60 + i}" for i in range(40)), "w1 w1 w2"]
@@ -80,6 +133,20 @@ def test_repair(kind):
     assert kind == "random" or len(seq) < n / 2
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    ids = np.tile(np.arange(40, dtype=np.uint16), 5000)
+    seq, at, rules, size = token_files.compress(ids, np.array([len(ids)]), 50_257)
+    assert (token_files.expand(seq, rules, 50_257) == ids).all() and len(seq) < 2 * token_files.LEAST * 40 and size.max() > 1000
+    rng = np.random.default_rng(1)
+    ids = rng.choice(np.arange(300, dtype=np.uint16), 200_000)
+    seq, at, rules, size = token_files.compress(ids, np.array([len(ids)]), 300)
+    pairs = np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)[1]
+    assert pairs.max() < 2 * token_files.LEAST and (token_files.expand(seq, rules, 300) == ids).all()
+    wide = np.repeat(rng.permutation(60_000).astype(np.uint16), 2)
+    seq, at, rules, size = token_files.compress(np.tile(wide, 16), np.arange(1, 17) * len(wide), 60_000)
+    assert len(rules) > 5536 and seq.dtype == np.uint32 and (token_files.expand(seq, rules, 60_000) == np.tile(wide, 16)).all()
+
+
 def test_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD", 2000)
     docs = [(i * 3 % 101, t) for i, t in enumerate(texts(79))] + [(500, None), (501, "word " * 20_000)]
