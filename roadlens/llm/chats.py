@@ -1,8 +1,10 @@
 """Chat formatting by event-sourced reconstruction.
 
 A log holds events (conv_id, seq, message, kind, role, text), in any order. Partitioned by
-conversation and sorted by message and sequence, they are folded in one streaming pass that holds
-one message at a time:
+conversation and sorted by sequence within each message, they are folded in one streaming pass that
+holds one message at a time (a fold in order of sequence alone would hold a conversation; the final
+messages are the same, as only regenerations reach beyond their message, and their newest sequence
+number is carried along):
 
 * `open`, `delta`: appends text to the message (`open` is what first names the role);
 * `edit`: replaces the message's text so far;
@@ -33,7 +35,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _CONTROL = re.compile(r"\\|<(?=/?turn>)|#(?=## )")
@@ -55,32 +57,41 @@ def unescape(text: str) -> str:
 _TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
 
+FLUSH = 1 << 22  # characters of rendered turns that are held at most, but for one turn
+
+
 def _fold(loss_roles: frozenset[str]):
     def run(batches):
         rows: list[dict] = []
         conv = message = object()
-        turn, cut_seq, newest = 0, None, None  # newest: of the regenerations of earlier messages
+        turn, cut_seq, newest, held = 0, None, None, 0  # newest: of the regenerations of earlier messages
         role, text, alive = "", [], False
 
         def close():
-            nonlocal turn
+            nonlocal turn, held
             if alive:
                 body = escape("".join(text))
                 head = f"<turn>### {escape(role, True)}:\n"
                 loss = role in loss_roles
                 rows.append({"conv_id": conv, "turn": turn, "segment": f"{head}{body}</turn>\n", "loss_start": len(head) if loss else None, "loss_end": len(head) + len(body) if loss else None})
-                turn += 1
+                turn, held = turn + 1, held + len(body) + 64
 
         for batch in batches:
             for c, m, seq, kind, who, what in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if c != conv:
                     close()
+                    if held > FLUSH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_TURNS)
+                        rows, held = [], 0
                     conv, message, turn, cut_seq, newest, alive = c, object(), 0, None, None, False
                     role, text = "", []
                 if m != message or kind == "turn":
                     close()
                     message, role, text, alive = m, "", [], False
                     cut_seq = newest
+                    if held > FLUSH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_TURNS)
+                        rows, held = [], 0
                 if cut_seq is not None and (seq is None or seq < cut_seq):
                     continue  # it belonged to a branch that was regenerated
                 if kind == "regenerate":
@@ -94,9 +105,6 @@ def _fold(loss_roles: frozenset[str]):
                     text.append(what or "")
                     alive = True
                 role = who if who is not None else role
-            if len(rows) >= 256:
-                yield pa.RecordBatch.from_pylist(rows, schema=_TURNS)
-                rows = []
         close()
         yield pa.RecordBatch.from_pylist(rows, schema=_TURNS)
 
@@ -110,6 +118,44 @@ def events_of(turns: DataFrame) -> DataFrame:
     return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("message"), F.col("turn").cast("long").alias("seq"), F.lit("turn").alias("kind"), say("role"), say("text"))
 
 
+DELTAS, LEAST_DELTA = 16, 24  # pieces of a streamed text at most, and their characters at least
+
+
+def streamed(turns: DataFrame) -> DataFrame:
+    """Whole turns (conv_id, turn, role, text) as the log of a streaming chat that nets to them.
+
+    Turns are messages in order of turn, role and text (repeated rows are messages of their own). Each
+    text comes in deltas. By the hash of a message, it is streamed plainly; or opened with a draft that
+    an edit replaces; or drafted and, after the next message had begun, regenerated, which drops that
+    beginning; or opened, deleted and opened anew."""
+    say = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), say("role"), say("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.withColumn("message", F.row_number().over(order).cast("long"))
+    size = F.greatest(F.lit(LEAST_DELTA), F.ceil(F.length("text") / DELTAS)).cast("int")
+    piece = lambda i: F.substring("text", i * size + 1, size)
+    none, draft = F.lit(None).cast("string"), F.lit("draft of </turn> ### ")
+
+    def event(kind, role, text, later=0):
+        return F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"), F.lit(later).alias("later"))
+
+    role, start = F.col("role"), piece(F.lit(0))
+    first = [
+        [event("open", role, start)],
+        [event("open", role, draft), event("delta", none, start), event("edit", none, start)],
+        [event("open", role, draft), event("delta", none, draft), event("open", F.lit("stale"), draft, 1), event("regenerate", none, none), event("delta", none, start)],
+        [event("open", F.lit("gone"), draft), event("delete", none, none), event("open", role, start)],
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "message", "text"), F.lit(len(first)))
+    begun = F.array(*first[0])
+    for k in range(1, len(first)):
+        begun = F.when(way == k, F.array(*first[k])).otherwise(begun)
+    more = F.when(F.length("text") > size, F.transform(F.sequence(F.lit(1), F.ceil(F.length("text") / size).cast("int") - 1), lambda i: event("delta", none, piece(i)))).otherwise(F.array().cast("array<struct<kind: string, role: string, text: string, later: int>>"))
+    told = rows.select("conv_id", "message", F.posexplode(F.concat(begun, more)).alias("at", "e"))
+    seq = F.col("message") * (2 * DELTAS + 8) + F.col("at")
+    return told.select("conv_id", (F.col("message") + F.col("e.later")).alias("message"), seq.alias("seq"), "e.kind", "e.role", "e.text")
+
+
 def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, turn, segment, loss_start, loss_end of the log's final messages."""
     log = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("message").cast("long").alias("message"), F.col("seq").cast("long").alias("seq"), "kind", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
