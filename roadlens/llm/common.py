@@ -131,17 +131,23 @@ def _hash_piece(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray, fold: np
 
 def _span_hashes(units: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     n = len(units)
+    if units.dtype == np.uint8:
+        value, residue = BYTE_HASH[units], PRIME_BYTE[units]
+    else:  # code points
+        value = mix(units.astype(np.uint64) + BYTE_HASH[0]) | np.uint64(1)
+        residue = units.astype(np.uint64) * np.uint64(1901) + np.uint64(1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_HASH[units] * _power(BASE, n), dtype=np.uint64, out=sums[1:])
+    np.cumsum(value * _power(BASE, n), dtype=np.uint64, out=sums[1:])
     wide = (sums[e] - sums[s]) * _power(BASE_INV, n)[s]
     # words that agree modulo 2^64 whatever the base (such words are easily made) differ modulo a prime
-    np.cumsum(_folded(PRIME_BYTE[units] * _prime_power(PRIME_BASE, n)), dtype=np.uint64, out=sums[1:])
+    np.cumsum(_folded(residue * _prime_power(PRIME_BASE, n)), dtype=np.uint64, out=sums[1:])
     prime = (sums[e] - sums[s]) % PRIME * _prime_power(pow(PRIME_BASE, -1, int(PRIME)), n)[s] % PRIME
     return mix(wide ^ mix(prime))
 
 
 def span_hashes(units: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hashes of the spans units[s:e] (bytes; ascending, not overlapping), a bounded piece at a time."""
+    """Hashes of the spans units[s:e] (bytes or code points; starts and ends ascend), a bounded piece
+    at a time."""
     out, at = np.zeros(len(s), np.uint64), 0
     while at < len(s):
         to = max(at + 1, int(np.searchsorted(e, s[at] + 2 * PIECE, "right")))
@@ -293,7 +299,7 @@ class Known:
         got = self._find(h, data, s, e)
         while (got < 0).any():
             miss = np.flatnonzero(got < 0)
-            new = miss[np.unique(h[miss], return_index=True)[1]]
+            new = np.sort(miss[np.unique(h[miss], return_index=True)[1]])
             if self.units.n + len(new) > self.most:
                 if len(new) > self.most // 2:
                     return None

@@ -178,6 +178,57 @@ def test_best_fit():
     assert sum(lengths) / sum(caps) > 0.97
 
 
+def least_cost(lengths, caps, overhead):
+    """The cheapest of all ways to part lengths into bins."""
+    best = [10**9]
+
+    def go(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(packing.final_size(b, caps) + overhead for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= caps[-1]:
+                go(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_best_fit_is_near_the_cheapest_way():
+    rng, caps = random.Random(3), [20, 40, 80]
+    ours = least = 0
+    for _ in range(120):
+        lengths = sorted((rng.randrange(1, rng.choice([15, 45, 81])) for _ in range(rng.randrange(1, 8))), reverse=True)
+        where, final = packing.pack(lengths, tuple(caps), 3)
+        cost = sum(final) + 3 * len(final)
+        cheapest = least_cost(lengths, caps, 3)
+        assert cheapest <= cost <= 1.5 * cheapest
+        for c in caps:
+            if c >= lengths[0]:
+                used = packing.best_fit_bins(lengths, [c], 3, caps)[1]
+                assert cost <= sum(packing.final_size(u, caps) + 3 for u in used)
+        ours, least = ours + cost, least + cheapest
+    assert ours <= 1.05 * least
+
+
+def test_sizes_are_weighed_jointly():
+    """Pieces that fill the middle size exactly go there, though larger bins would hold more of them."""
+    where, final = packing.pack([3000] * 40 + [1096] * 40, (2048, 4096, 10_000))
+    assert final == [4096] * 40
+    where, final = packing.pack([5000] * 10 + [1900] * 30, (2048, 8192))
+    assert sum(final) == 10 * 8192 + 20 * 2048
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    df = spark.createDataFrame([(1, 700)] * 500 + [(None, 700)] * 40 + [(2, 0), (3, None), (4, -5)], "doc_id long, length long")
+    out = packing.best_fit(df, per_task=50).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r.bin.split("-")[0], []).append(r)
+    assert len(out) == 540 and len(groups) > 5 and max(map(len, groups.values())) < 120
+
+
 def test_packing_is_whole(spark):
     docs = [(i, "é" * (i * 37 % 9000)) for i in range(150)] + [(None, "x"), (7, "y"), (7, "y"), (900, None), (901, "z" * 100_001)]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, bin int")

@@ -50,6 +50,35 @@ def test_links(spark, tile):
     assert (by[None].n_links, by[None].component_id, by[None].kept) == (0, None, False)
 
 
+def test_repeated_rows_are_vectors_of_their_own(spark):
+    import duckdb
+    import pandas as pd
+
+    from roadlens.llm import registry
+
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, [0.0, 1.0], "c"), (2, [1.0, 0.01], "d"), (3, [-1.0, 0.0], "e"), (None, [1.0, 0.0], "f"), (4, None, "g"), (5, [0.0, 0.0], "h")]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string"), 0.9).toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [r[:2] for r in rows])
+    plain = lambda d: sorted(repr([None if pd.isna(v) else v for v in r]) for r in d[["vec_id", "n_links", "component_id", "kept"]].astype(object).itertuples(index=False))
+    assert plain(got) == plain(con.execute(registry.OP9_SQL).df())
+    assert sorted(got[got.vec_id == 1].n_links) == [2, 2] and sorted(got[got.vec_id == 2].n_links) == [0, 2]
+
+
+def test_products_are_exact_in_many_dimensions(spark):
+    rng = np.random.default_rng(2)
+    q = rng.choice(np.array([-127, 127, 126], np.int8), (40, 4097))
+    q[1] = q[0]
+    assert (vectors.quantised_products(q.astype(np.float32), q.astype(np.float32)) == q.astype(np.int64) @ q.astype(np.int64).T).all()
+    x = rng.standard_normal((60, 2048))
+    x[10:20] = x[0] + 0.4842 * rng.standard_normal((10, 2048))  # cosines about 0.9
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.9, 16).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((link.sum(axis=1) - 1).tolist()))
+
+
 def test_empty_links(spark):
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert vectors.near_vectors(spark.createDataFrame([(1, None, 0)], SCHEMA)).first().n_links == 0
