@@ -25,7 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/roadlens/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, which is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/roadlens/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

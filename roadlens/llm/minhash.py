@@ -9,22 +9,20 @@ Plan, by size of what is shuffled:
 1. One pass over the texts gives each document its set's size, a 128-bit digest of the set and a
    MinHash signature. Documents with equal digests are one class; only its smallest id goes on, so
    groups of copies of any size cost one row after a pre-aggregated group-by.
-2. The signature read from TREES different places, cyclically, gives TREES sorted orders. The
-   regions of an order are the runs that share a prefix. A region of more than `region` rows is
-   split by a longer prefix (adaptive depth), down to the longest; what still is too large there
-   is dealt out by id.
-3. Documents that share a region with another get a finer signature of FINE values. Within a region,
-   similarities are estimated from it without emitting pairs. Only a maximum spanning forest of the
-   estimates above a wide margin, and each row's NEAREST best neighbours, are emitted: single-linkage
-   components at any level are those of such a forest, and neighbours make up for estimates that
-   are off.
-4. A region that was split would lose the links between its parts. Its parts' medoids therefore
-   compete (a tournament of bounded tasks), and every row of the region is compared with the
-   winners: near copies of one text link through the version with the fewest edits.
-5. Candidates are confirmed on whole sets; components follow by contraction.
-6. What was cut in 2 to 4 is made up for: in every region of the least depth all rows of
-   different components meet, those of a split one by pairs of blocks of bounded size. Those estimated above
-   the margin are compared on whole sets.
+2. The signature read from TREES different places, cyclically, gives TREES sorted orders. Rows whose
+   first LEAST values of an order are nobody else's drop out by a bitmap of the others' hashes; the
+   rest are sorted, range-partitioned by their whole strings, so no prefix is a hot key.
+3. Every task walks its part of the orders with the longest common prefixes of neighbours. A region
+   is a run that shares LEAST values; one of more than `region` rows falls apart where its common
+   prefix is shortest, again and again (adaptive depth). Rows of a region are candidates: their
+   similarities are estimated from a finer signature of FINE values without emitting pairs, and a
+   maximum spanning forest of the estimates above a wide margin is emitted, and each row's NEAREST
+   best neighbours.
+4. Candidates are confirmed on whole sets; components follow by contraction.
+5. What was cut in 3, by splitting regions, by the ends of tasks and by emitting forests, is made up
+   for: in every region of the least depth all rows of different components meet, those of a large
+   one by pairs of blocks of bounded size. Those estimated above the margin are compared on whole
+   sets.
 
 Defined results: null or word-less text: empty set, linked with nothing; null doc_id: reported with
 a null component and kept false; repeated rows: one class, each row reported; empty table: no rows.
@@ -41,9 +39,9 @@ from roadlens.llm.common import components, cut, forget, mix, shingle_set, text_
 
 TREES, STEP_VALUES = 20, 3
 VALUES = TREES * STEP_VALUES
-DEPTHS = (3, 6, 12, 24)  # in values; a prefix of a tree's order
-REGION = 1024
-PIVOTS = 4
+LEAST, DEEPEST = 3, 24  # values of an order that a region shares at least, and that are sorted by
+REGION = 256  # rows of a region that are compared with each other at most
+BLOCK = 1024  # rows of a unit of the last comparison at most
 FINE = 256  # values of the signatures that similarities are estimated from, a byte each
 NEAREST = 8
 SEED = np.random.default_rng(77).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,67 +125,72 @@ def _forest(est: np.ndarray, floor: float) -> list[tuple[int, int]]:
     return sorted(edges)
 
 
-def _in_regions(floor: float, medoids: bool):
-    """Rows (key, id, sig1) sorted by key to candidate pairs (a, b), or to each region's medoids
-    (key, id, sig1). State: the rows of one region."""
-
-    def out(found, key):
-        if medoids:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["node", "id", "sig1"])
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-    def region(node, ids, sigs, found):
-        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), FINE)
-        if medoids:
-            est = _estimates(sig)
-            score = np.where(est >= floor, est, 0).sum(axis=1)
-            for i in np.lexsort((ids, -score))[:PIVOTS]:
-                found.append((node, int(ids[i]), sigs[i]))
-            return
-        if len(ids) == 2:
-            if ids[0] != ids[1] and (sig[0] == sig[1]).sum() >= floor * FINE:
-                found.append((min(ids), max(ids)))
-            return
-        for i, j in _forest(_estimates(sig), floor):
-            if ids[i] != ids[j]:
-                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-
-    def run(batches):
-        key, node, ids, sigs, found = None, None, [], [], []
-        for batch in batches:
-            for k, nd, i, s in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if k != key:
-                    if len(ids) > 1 or medoids and ids:
-                        region(node, ids, sigs, found)
-                    key, node, ids, sigs = k, nd, [], []
-                    if len(found) > 20_000:
-                        yield out(found, key)
-                        found = []
-                ids.append(i)
-                sigs.append(s)
-        if len(ids) > 1 or medoids and ids:
-            region(node, ids, sigs, found)
-        yield out(found, key)
-
-    return run
+def common_prefixes(keys: np.ndarray) -> np.ndarray:
+    """How many values each row of sorted strings (rows x values) shares with the one before; -1 first."""
+    same = keys[1:] == keys[:-1]
+    return np.r_[-1, np.where(same.all(axis=1), keys.shape[1], same.argmin(axis=1))]
 
 
-def _regions_to(rows: DataFrame, floor: float, medoids: bool) -> DataFrame:
-    dealt = rows.select("key", "node", "id", "sig1").repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(_in_regions(floor, medoids), "node long, id long, sig1 binary" if medoids else "a long, b long")
+def parts_of(lcp: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of at most `most` rows: a longer one falls apart at its least common prefix, of several
+    at the one nearest to its middle."""
+    todo, out = [(0, len(lcp))], []
+    while todo:
+        a, b = todo.pop()
+        if b - a <= most:
+            out.append((a, b))
+            continue
+        low = np.flatnonzero(lcp[a + 1 : b] == lcp[a + 1 : b].min()) + a + 1
+        at = int(low[np.abs(low - (a + b) // 2).argmin()])
+        todo += [(a, at), (at, b)]
+    return sorted(out)
 
 
-def _near(floor: float):
-    """Rows (id, sig1, pivot, pivot_sig) to candidate pairs."""
+def _in_orders(floor: float, region: int):
+    """Rows (t, key, id, sig1), sorted, to candidate pairs (a, b). State: rows of one region, up to
+    4 * region of them; of a longer one all but the last part are done with as it goes."""
 
     def run(batches):
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        def work(ids, sigs):
+            if len(ids) < 2:
+                return []
+            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), FINE)
+            if len(ids) == 2:
+                pairs = [(0, 1)] if (sig[0] == sig[1]).sum() >= floor * FINE else []
+            else:
+                pairs = _forest(_estimates(sig), floor)
+            return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs if ids[i] != ids[j]]
+
+        def settle(rows, last):
+            """Pairs of a region's parts, and the rows of its last part unless the region ends here."""
+            keys = np.frombuffer(b"".join(r[1] for r in rows), ">u4").reshape(len(rows), -1)
+            parts = parts_of(common_prefixes(keys), region)
+            rest = [] if last else rows[parts[-1][0] :]
+            found = []
+            for a, b in parts if last else parts[:-1]:
+                found += work([r[0] for r in rows[a:b]], [r[2] for r in rows[a:b]])
+            return found, rest
+
+        head, rows, found = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.asarray(batch.column(c)) for c in (0, 2))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in (1, 3))
-            ok = ((x == y).sum(axis=1) >= floor * FINE) & (a != b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+            for t, key, i, s in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                here = (t, key[: 4 * LEAST])
+                if here != head:
+                    found += settle(rows, True)[0] if len(rows) > 1 else []
+                    head, rows = here, []
+                elif len(rows) >= 4 * region:
+                    some, rows = settle(rows, False)
+                    found += some
+                rows.append((i, key, s))
+                if len(found) > 20_000:
+                    yield out(found)
+                    found = []
+        if len(rows) > 1:
+            found += settle(rows, True)[0]
+        yield out(found)
 
     return run
 
@@ -213,50 +216,30 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _candidates(reps: DataFrame, texts: DataFrame, k: int, floor: float, region: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """Frames of candidate pairs (a, b) from reps(id, sig), (id, text, sig1) of all in them, and the
-    regions (id, t, key, n) of the least depth."""
+def _candidates(reps: DataFrame, texts: DataFrame, k: int, floor: float, region: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs (a, b) from reps(id, sig), (id, text, sig1) of all in shared regions, and the
+    regions (id, t, key) of the least depth."""
     twice = F.concat("sig", "sig")
-
-    def key(t, depth):
-        return F.xxhash64(t, F.substring(twice, t * (4 * STEP_VALUES) + 1, F.lit(4 * depth)))
-
-    found: list[DataFrame] = []
+    string = lambda values: F.substring(twice, F.col("t") * (4 * STEP_VALUES) + 1, F.lit(4 * values))
     spots = reps.select("id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"), "sig")
-    keys = spots.select("id", "t", key(F.col("t"), DEPTHS[0]).alias("key"))
+    keys = spots.select("id", "t", F.xxhash64("t", string(LEAST)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(keys.join(shared, "key").select("id", "t", "key", "n"), "regions")
-    near = by_bitmap(texts, rows.select("id").distinct(), "left_semi").dropDuplicates(["id", "text"])
+    regions = cut(by_bitmap(keys, shared, "left_semi", "key"), "regions")
+    near = by_bitmap(texts, regions.select("id").distinct(), "left_semi").dropDuplicates(["id", "text"])
     near = cut(near.mapInArrow(_fine(k), "id long, text string, sig1 binary"), "near")
-    regions = rows
-    rows = rows.join(near.select("id", "sig1"), "id")
-    for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], None)):
-        fits = rows.where(F.col("n") <= region)
-        found.append(_regions_to(fits.withColumn("node", F.col("key")), floor, False))
-        large = rows.where(F.col("n") > region)
-        if large.isEmpty():
-            break
-        large = cut(large, "large")
-        # a tournament of medoids; every task holds at most about `region` rows
-        field = large.select(F.col("key").alias("node"), "id", "sig1", "n")
-        while True:
-            dealt = field.withColumn("key", F.xxhash64("node", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") * 2 / region))))
-            field = cut(_regions_to(dealt, floor, True), "medoids")
-            if field.groupBy("node").count().where(F.col("count") > region).isEmpty():
-                break
-            field = field.join(field.groupBy("node").agg(F.count("*").alias("n")), "node")
-        won = _regions_to(field.withColumn("key", F.col("node")), floor, True)
-        won = cut(won.select("node", F.col("id").alias("pivot"), F.col("sig1").alias("pivot_sig")).distinct(), "pivots")
-        met = large.join(won, large["key"] == won["node"]).select("id", "sig1", "pivot", "pivot_sig")
-        found.append(met.mapInArrow(_near(floor), "a long, b long"))
-        if deeper is None:
-            dealt = large.withColumn("node", F.col("key")).withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / region))))
-            found.append(_regions_to(dealt, floor, False))
-            break
-        keyed = large.select("id", "t", "sig1").join(reps, "id").select("id", "t", key(F.col("t"), deeper).alias("key"), "sig1")
-        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        rows = cut(keyed.join(shared, "key"), "regions")
-    return found, near, regions
+    rows = regions.select("id", "t").join(reps, "id").join(near.select("id", "sig1"), "id").select("t", string(DEEPEST).alias("key"), "id", "sig1")
+    orders = rows.repartitionByRange("t", "key").sortWithinPartitions("t", "key", "id")
+    return orders.mapInArrow(_in_orders(floor, region), "a long, b long"), near, regions
+
+
+SALTS = 32
+
+
+def _salted(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """big joined with small, whose rows are unique by `on`, where one key may hold a large share of
+    big: its rows go SALTS ways by the column `by`."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS).cast("long"))).join(small.withColumn("_salt", salts), [*on, "_salt"], how).drop("_salt")
 
 
 UNIT_BYTES = 16 << 20  # of texts that one task holds at most, but for single longer texts
@@ -270,11 +253,12 @@ def _blocks(rows: DataFrame, region: int) -> DataFrame:
     load = lambda n, b: F.ceil(F.greatest(2 * F.col(n) / region, 2 * F.col(b) / UNIT_BYTES))
     groups = rows.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("bytes").alias("b"))
     totals = groups.groupBy("key").agg(F.sum("m").alias("all_m"), F.sum("b").alias("all_b"), F.count("*").alias("cs")).where("cs > 1")
-    groups = groups.join(totals, "key").withColumn("whole", (F.col("all_m") <= region) & (F.col("all_b") <= UNIT_BYTES)).withColumn("own", ~F.col("whole") & (load("m", "b") > 1))
+    rows = by_bitmap(rows, totals, "left_semi", "key")
+    groups = _salted(groups, totals, ["key"], "c").withColumn("whole", (F.col("all_m") <= region) & (F.col("all_b") <= UNIT_BYTES)).withColumn("own", ~F.col("whole") & (load("m", "b") > 1))
     pool = groups.where("not own").groupBy("key").agg(F.sum("m").alias("pool_m"), F.sum("b").alias("pool_b"))
-    plan = groups.join(pool, "key", "left").select("key", "c", "whole", "own", F.when(F.col("own"), load("m", "b")).otherwise(load("pool_m", "pool_b")).alias("parts"))
+    plan = _salted(groups, pool, ["key"], "c", "left").select("key", "c", "whole", "own", F.when(F.col("own"), load("m", "b")).otherwise(load("pool_m", "pool_b")).alias("parts"))
     block = F.when(F.col("whole"), F.lit(0)).when(F.col("own"), F.xxhash64("c", F.pmod(F.xxhash64("id"), "parts"))).otherwise(F.pmod(F.xxhash64("c"), "parts"))
-    dealt = cut(rows.join(plan, ["key", "c"]).select("key", "t", "id", "c", block.alias("block"), F.when(F.col("own"), F.col("c")).alias("own")), "blocks")
+    dealt = cut(_salted(rows, plan, ["key", "c"], "id").select("key", "t", "id", "c", block.alias("block"), F.when(F.col("own"), F.col("c")).alias("own")), "blocks")
     blocks = dealt.select("key", "block", "own").distinct()
     two = blocks.alias("x").join(blocks.alias("y"), "key").where("x.block <= y.block and (x.own is null or y.own is null or x.own <> y.own)")
     unit = F.xxhash64("key", F.col("x.block"), F.col("y.block"))
@@ -395,55 +379,56 @@ def _missed(regions: DataFrame, reps: DataFrame, texts: DataFrame, comp: DataFra
 FILTER_WORDS = 1 << 18  # of 64 bits: the bound of what by_bitmap() broadcasts, 4 MB
 
 
-def by_bitmap(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def by_bitmap(rows: DataFrame, ids: DataFrame, how: str, on: str = "id") -> DataFrame:
     """how left_semi: the rows whose id is in ids(id), and a few more; left_anti: only rows whose id
     is not in it, nearly all of them. A bitmap of hashed ids, of a fixed size whatever the input, is
-    broadcast, so that rows are told apart before any shuffle."""
-    spot = f"pmod(xxhash64(id), {FILTER_WORDS * 64}L)"
+    broadcast, so that rows are told apart before any shuffle. on: the column that holds ids."""
+    spot = f"pmod(xxhash64({on}), {FILTER_WORDS * 64}L)"
     word, bit = F.expr(f"shiftright({spot}, 6)"), F.expr(f"shiftleft(1L, int({spot} % 64))")
-    bitmap = ids.where("id is not null").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bitmap = ids.where(f"{on} is not null").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     return rows.join(F.broadcast(bitmap), (word == bitmap["word"]) & (bitmap["bits"].bitwiseAND(bit) != 0), how)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text). percent: the
-    similarity, in hundredths, from which documents are linked. region: the rows that one task
-    compares with each other at most."""
+    similarity, in hundredths, from which documents are linked. region, block: the rows that one task
+    compares with each other at most, in the orders and at last."""
     floor = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / FINE))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = cut(slim.mapInArrow(_sketch(k), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "sketch")
     some = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     lead = classes.select("id", "h1", "h2")
-    reps = some.select(F.col("doc_id").alias("id"), "h1", "h2", "sig").join(lead, ["id", "h1", "h2"]).select("id", "sig")
+    reps = some.select(F.col("doc_id").alias("id"), "h1", "h2", "sig").join(lead, ["id", "h1", "h2"]).select("id", "sig").dropDuplicates(["id", "sig"])
     found, texts, regions = _candidates(reps, slim.withColumnRenamed("doc_id", "id"), k, floor, region)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = cut(pairs.distinct(), "pairs")
+    pairs = cut(found.distinct(), "pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "u long, v long"), "links")
     comp = components(links, "near")
-    missed = _missed(regions, reps, texts, comp, k, percent, floor, region)
+    missed = _missed(regions, reps, texts, comp, k, percent, floor, block)
     if not missed.isEmpty():
+        forget(comp)
         comp = components(links.union(missed), "near")
-    forget(texts, pairs)
+    forget(texts, pairs, regions, links, missed)
     joined = classes.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"), "n", F.col("component").isNotNull().alias("linked"))
     joined = joined.where("n > 1 or linked").drop("n", "linked")
-    out = sketch.drop("sig").join(joined, ["h1", "h2", "n_shingles"], "left")
+    out = _salted(sketch.drop("sig"), joined, ["h1", "h2", "n_shingles"], "doc_id", "left")
     comp_id = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     comp_id = F.when(F.col("doc_id").isNotNull(), comp_id)
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(False)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id, and all their columns.
-    Rows that repeat a doc_id are one document; rows without one stay."""
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    judged = near_duplicates(docs, k, percent)
-    gone = cut(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")), "gone")
-    rows = docs.withColumn("id", F.col("doc_id").cast("long"))
+    """docs with one document of each group, that of the smallest doc_id (null last), and all their
+    columns. Rows with equal doc_id and text are one document, of which any one row stays; rows that
+    repeat a doc_id with another text are documents of their own, the smaller text first."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("doc"))
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        place = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_last()]
+        rows = rows.dropDuplicates(["id", "text"]).repartitionByRange(*place).sortWithinPartitions(*place)
+        rows = cut(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    judged = near_duplicates(rows.select(F.col("id").alias("doc_id"), "text"), k, percent)
+    gone = cut(judged.where("not kept").select(F.col("doc_id").alias("id")), "gone")
     certain = by_bitmap(rows, gone, "left_anti")
     others = by_bitmap(rows, gone, "left_semi").join(gone, "id", "left_anti")
-    return certain.unionByName(others).select(*docs.columns)
+    return certain.select("doc.*").unionByName(others.select("doc.*"))

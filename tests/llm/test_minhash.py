@@ -52,7 +52,7 @@ def corpus(n_near=60):
 def test_components_are_exact(spark, region):
     docs = corpus()
     rows = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, component_id string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(rows, k=4, region=region).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(rows, k=4, region=region, block=4 * region).collect()}
     assert got == brute(docs, 4)
 
 
@@ -76,7 +76,7 @@ def test_split_regions_lose_no_pair(spark):
     docs = family(100, 0, 140, 30, 12)  # 0.81 in a pair, 0.70 otherwise
     want = brute(docs, 1)
     assert sum(not kept for _, _, kept in want.values()) == 100
-    assert linked(spark, docs, region=12) == want
+    assert linked(spark, docs, region=12, block=24) == want
 
 
 def test_close_neighbours_hide_no_pair(spark):
@@ -86,6 +86,38 @@ def test_close_neighbours_hide_no_pair(spark):
     assert linked(spark, docs) == want
 
 
+def test_families_of_near_copies(spark):
+    """Families whose links are few among many pairs just under the threshold."""
+    rng, docs = random.Random(7), []
+    for f in range(3):
+        base = [f"f{f}w{x}" for x in range(rng.randrange(258, 279))]
+        for k in range(200):
+            w = list(base)
+            for at in rng.sample(range(len(w)), 2 if k < 15 else 6):
+                w[at] = f"x{rng.randrange(10**7)}"
+            docs.append((len(docs), " ".join(w)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(rows, k=5, region=64, block=128).collect()}
+    assert got == brute(docs, 5)
+
+
+def test_common_prefixes():
+    import numpy as np
+
+    keys = np.array([[1, 1, 1], [1, 1, 2], [1, 1, 2], [1, 2, 0], [2, 0, 0]], ">u4")
+    assert minhash.common_prefixes(keys).tolist() == [-1, 2, 3, 1, 0]
+    assert minhash.parts_of(minhash.common_prefixes(keys), 2) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+    assert minhash.parts_of(np.array([-1] + [3] * 9), 4) == [(0, 2), (2, 5), (5, 7), (7, 10)]
+
+
+def test_columns_and_ids_that_clash(spark):
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    rows = [(1, a, "keep1", 0, 5), (2, a.upper(), "gone", 0, 5), (3, b, "keep3", 1, 6), (3, a, "gone too", 2, 7), (None, b, "gone three", 3, 8), (None, "z " * 9, "keep null", 4, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, doc int, key int")
+    kept = minhash.without_near_duplicates(df)
+    assert kept.columns == df.columns and {r.id for r in kept.collect()} == {"keep1", "keep3", "keep null"}
+
+
 def test_empty_and_odd_tables(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
@@ -93,7 +125,7 @@ def test_empty_and_odd_tables(spark):
     got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=repr)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, False), (None, 0, None, False)], key=repr)
     kept = minhash.without_near_duplicates(spark.createDataFrame(rows + [(7, "a b c d e f")], schema))
-    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, "a b c d e f"), (None, "a b c d e f"), (None, None)], key=repr)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, "a b c d e f"), (None, None)], key=repr)
 
 
 def test_words_longer_than_a_piece(spark):
