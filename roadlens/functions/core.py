@@ -51,6 +51,31 @@ def relative_spread(c: str) -> Column:
     return F.stddev_pop(c) / F.when(mean > EPS, mean).otherwise(F.lit(EPS))
 
 
+def rms(c: str) -> Column:
+    """Root of the mean square."""
+    return F.sqrt(F.avg(F.col(c) * F.col(c)))
+
+
+def weighted_mean(c: str, weight: str) -> Column:
+    return ratio(F.sum(F.col(c) * F.col(weight)), F.sum(weight))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def gini_of(values: str) -> Column:
+    """Gini coefficient of an array's values less their minimum."""
+    y = F.transform(F.array_sort(values), lambda v: v - F.array_min(values))
+    n = F.size(values)
+    return _total(F.transform(y, lambda v, i: (2 * (i + 1) - n - 1) * v)) / (n * (_total(y) + EPS))
+
+
+def entropy_of(shares: str) -> Column:
+    """Entropy, in nats, of an array of shares."""
+    return -_total(F.transform(shares, lambda p: p * F.ln(p + EPS)))
+
+
 def names_of(taxonomy: list[str], codes: Column) -> Column:
     """An array of codes as sorted names; codes outside the taxonomy by number."""
     table = F.array(*(F.lit(x) for x in taxonomy))

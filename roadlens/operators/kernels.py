@@ -67,6 +67,20 @@ def resize_area(g: np.ndarray, height: int, width: int) -> np.ndarray:
     return part / np.outer(np.bincount(rows, minlength=height), np.bincount(cols, minlength=width))
 
 
+def resize_bilinear(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resize by linear interpolation between the centres of pixels, rounded to bytes; places beyond
+    the outer centres have the outer pixels' values."""
+
+    def places(n, m):
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(np.int64), max(n - 2, 0))
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = places(g.shape[0], height), places(g.shape[1], width)
+    rows = g[y0] * (1 - fy)[:, None] + g[y1] * fy[:, None]
+    return np.clip(np.rint(rows[:, x0] * (1 - fx) + rows[:, x1] * fx), 0, 255)
+
+
 def canny(g: np.ndarray, low: float = 100, high: float = 200) -> np.ndarray:
     """Edges: Sobel gradients (L1), non-maximum suppression, and weak edges that touch strong ones."""
     gx, gy = convolve3(g, SOBEL_X), convolve3(g, SOBEL_Y)
@@ -127,7 +141,7 @@ def features(bgr: np.ndarray) -> tuple:
     bw, bh = int(max(1, BAND * w)), int(max(1, BAND * h))
     bands = [g[:, :bw], g[:, w - bw :], g[:bh], g[h - bh :]]
     edges = canny(g)
-    thumb = np.clip(np.rint(resize_area(g, 32, 32)), 0, 255).astype(np.uint8)
+    thumb = resize_bilinear(g, 32, 32).astype(np.uint8)
     return (
         float(g.mean()),
         *(float(m) for m in bgr.reshape(-1, 3).mean(axis=0)),
@@ -257,7 +271,7 @@ def traffic_scores(frames: DataFrame, background: int = 120, alpha: float = 0.75
     from pyspark.sql import functions as F
 
     def small(row):
-        return resize_area(gray(image_of(*row).astype(float)), 144, 256)
+        return resize_bilinear(gray(image_of(*row).astype(float)), 144, 256)
 
     def score(g, bg):
         edge = np.hypot(convolve3(g, SOBEL_X), convolve3(g, SOBEL_Y))

@@ -26,7 +26,7 @@ def stability(value: Column, limit: float) -> Column:
 
 def duplicate_rate(frames: DataFrame, hashes: bool = False) -> DataFrame:
     """Frames after the first of each timestamp (in ms) or, if more, of each thumbnail, in percent."""
-    times = F.count("*") - F.count_distinct(F.round(F.col("ts") * 1000, 3)) - F.count_if(missing("ts"))
+    times = F.count("*") - F.count_distinct(F.when(~missing("ts"), F.round(F.col("ts") * 1000, 3))) - F.count_if(missing("ts"))
     extra = [(F.count("*") - F.count_distinct("thumbnail_md5")).alias("same_image")] if hashes else []
     out = frames.groupBy("video").agg(F.count("*").alias("frames"), times.alias("same_time"), *extra)
     n = F.greatest("same_time", "same_image") if hashes else F.col("same_time")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import taxonomies as T
-from roadlens.operators import spatial, summary, tracks, traffic, video
+from roadlens.functions.core import entropy_of, gini_of, relative_spread, rms, weighted_mean
+from roadlens.operators import kernels, spatial, summary, tracks, traffic, video
 from roadlens.plans import views as V
+from roadlens.sources import documents, opendrive
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -142,10 +144,10 @@ def _(spark, sf):
     "class_case1",
     "SELECT 'events' AS file, (SELECT string_agg(n, ',' ORDER BY n) FROM (VALUES (1, 'TYPE_OTHER'), (2, 'TYPE_VEHICLE'), (3, 'TYPE_PEDESTRIAN'), (4, 'TYPE_ANIMAL')) v(c, n) WHERE c IN (SELECT type FROM few)) AS observed, (SELECT coalesce(string_agg(n, ',' ORDER BY n), '') FROM (VALUES (1, 'TYPE_OTHER'), (2, 'TYPE_VEHICLE'), (3, 'TYPE_PEDESTRIAN'), (4, 'TYPE_ANIMAL')) v(c, n) WHERE c NOT IN (SELECT type FROM few)) AS absent, 100.0::DOUBLE * (SELECT count(DISTINCT type) FROM few WHERE type BETWEEN 1 AND 4) / 4 AS coverage_pct",
     "coverage_pct",
-    TR + ", few AS (SELECT type FROM tracks WHERE type <> 3)",
+    TR + ", few AS (SELECT type FROM tracks)",
 )
 def _(spark, sf):
-    out = tracks.class_coverage(V.tracks(spark, sf).where("type <> 3"), "type", T.OBJECT_TYPES)
+    out = tracks.class_coverage(V.tracks(spark, sf), "type", T.OBJECT_TYPES)
     return out.withColumns({c: F.array_join(c, ",") for c in ("observed", "absent")})
 
 
@@ -171,10 +173,12 @@ def _daily(spark, sf):
 @query(
     "object_type_coverage",
     """SELECT 'events' AS file, count(*) AS total_frames, avg(n)::DOUBLE AS mean_detections, min(n) AS min_detections, max(n) AS max_detections, median(n)::DOUBLE AS median_detections,
-  (SELECT count(DISTINCT idx) FROM daily) AS unique_objects, 'TYPE_PEDESTRIAN,TYPE_VEHICLE' AS matched_types, '9' AS missing_types, 100.0::DOUBLE * 2 / 3 AS coverage_pct, false AS passes
+  (SELECT count(DISTINCT idx) FROM daily) AS unique_objects, (SELECT coalesce(string_agg(n, ',' ORDER BY n), '') FROM wanted WHERE c IN (SELECT type FROM daily)) AS matched_types,
+  (SELECT coalesce(string_agg(n, ',' ORDER BY n), '') FROM wanted WHERE c NOT IN (SELECT type FROM daily)) AS missing_types, 100.0::DOUBLE * (SELECT count(*) FROM wanted WHERE c IN (SELECT type FROM daily)) / (SELECT count(*) FROM wanted) AS coverage_pct,
+  (SELECT count(*) FROM wanted WHERE c NOT IN (SELECT type FROM daily)) = 0 AS passes
   FROM (SELECT total_nanos, count(*) AS n FROM daily GROUP BY 1)""",
     "mean_detections median_detections coverage_pct",
-    TR + _BY_DAY,
+    TR + _BY_DAY + ", wanted AS (SELECT * FROM (VALUES (2, 'TYPE_VEHICLE'), (3, 'TYPE_PEDESTRIAN'), (9, '9')) v(c, n))",
 )
 def _(spark, sf):
     out = tracks.object_type_coverage(_daily(spark, sf), [2, 3, 9])
@@ -194,12 +198,12 @@ def _(spark, sf):
 
 _IMPLAUSIBLE = """, w AS (SELECT idx, sqrt(vel_x * vel_x + vel_y * vel_y + vel_z * vel_z) AS v, (total_nanos - lag(total_nanos) OVER o)::DOUBLE / 1e9 AS dt,
   sqrt(pow(x - lag(x) OVER o, 2) + pow(y - lag(y) OVER o, 2)) AS dist FROM tracks WINDOW o AS (PARTITION BY idx ORDER BY total_nanos, msg_seq)),
-im AS (SELECT idx, count(*) FILTER (v > 50) AS n_fast, max(v) AS max_speed_ms, count(*) FILTER (dt > 0 AND dist / nullif(dt, 0) > 0.001) AS n_jumps, max(CASE WHEN dt > 0 THEN dist / dt WHEN dt <= 0 THEN 0 END) AS max_implied_speed_ms FROM w GROUP BY idx)"""
+im AS (SELECT idx, count(*) FILTER (v > 50) AS n_fast, max(v) AS max_speed_ms, count(*) FILTER (dt > 0 AND dist / nullif(dt, 0) > 50) AS n_jumps, max(CASE WHEN dt > 0 THEN dist / dt WHEN dt <= 0 THEN 0 END) AS max_implied_speed_ms FROM w GROUP BY idx)"""
 
 
-@query("implausible_tracks", "SELECT 'events' AS file, idx, n_fast, max_speed_ms, max_implied_speed_ms FROM im", "max_speed_ms max_implied_speed_ms", TR + _IMPLAUSIBLE)
+@query("implausible_tracks", "SELECT 'events' AS file, idx, n_fast, max_speed_ms, n_jumps, max_implied_speed_ms FROM im", "max_speed_ms max_implied_speed_ms", TR + _IMPLAUSIBLE)
 def _(spark, sf):
-    return tracks.implausible_tracks(V.tracks(spark, sf)).drop("n_jumps")
+    return tracks.implausible_tracks(V.tracks(spark, sf))
 
 
 @query(
@@ -242,9 +246,17 @@ def _(spark, sf):
 # --------------------------------------------------------------------------------- video
 
 
-@query("video_duplicates", "SELECT *, 100.0::DOUBLE * duplicates / frames AS duplicate_rate_pct, 100.0::DOUBLE * duplicates / frames <= 1 AS passes_threshold FROM (SELECT video, count(*) AS frames, count(*) - count(DISTINCT brightness) AS duplicates FROM features GROUP BY video)", "duplicate_rate_pct", FE)
+@query(
+    "video_duplicates",
+    """SELECT *, 100.0::DOUBLE * duplicates / frames AS duplicate_rate_pct, 100.0::DOUBLE * duplicates / frames <= 1 AS passes_threshold FROM (SELECT video, count(*) AS frames,
+  greatest(count(*) FILTER (frame_no % 11 <> 3) - count(DISTINCT frame_no // 3) FILTER (frame_no % 11 <> 3), count(*) - count(DISTINCT brightness)) AS duplicates FROM features GROUP BY video)""",
+    "duplicate_rate_pct",
+    FE,
+)
 def _(spark, sf):
-    return video.duplicate_rate(V.features(spark, sf).withColumns({"ts": F.col("frame_no").cast("double"), "thumbnail_md5": F.md5(F.col("brightness").cast("string"))}), hashes=True)
+    # three frames share a time; some times are missing, as null or NaN
+    late = F.when(F.col("frame_no") % 22 == 3, F.lit(float("nan"))).when(F.col("frame_no") % 11 != 3, F.floor(F.col("frame_no") / 3).cast("double"))
+    return video.duplicate_rate(V.features(spark, sf).withColumns({"ts": late, "thumbnail_md5": F.md5(F.col("brightness").cast("string"))}), hashes=True)
 
 
 _VT = """, st AS (SELECT *, ts - lag(ts) OVER (PARTITION BY video ORDER BY frame_no) AS dt FROM features),
@@ -306,15 +318,9 @@ def _(spark, sf):
     return video.histogram_stability(V.histograms(spark, sf))
 
 
-def _rms(df: DataFrame) -> DataFrame:
-    from roadlens.functions.core import relative_spread
-
-    return df.groupBy("l_returnflag").agg(relative_spread("l_quantity").alias("cov"), F.sqrt(F.avg(F.col("l_quantity") * F.col("l_quantity"))).alias("rms"), (F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_discount")).alias("weighted_mean"))
-
-
 @query("spread_and_rms", "SELECT l_returnflag, stddev_pop(l_quantity) / abs(avg(l_quantity)) AS cov, sqrt(avg(l_quantity * l_quantity)) AS rms, sum(l_quantity * l_discount) / sum(l_discount) AS weighted_mean FROM lineitem GROUP BY 1", "cov rms weighted_mean")
 def _(spark, sf):
-    return _rms(V.table(spark, sf, "lineitem"))
+    return V.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(relative_spread("l_quantity").alias("cov"), rms("l_quantity").alias("rms"), weighted_mean("l_quantity", "l_discount").alias("weighted_mean"))
 
 
 @query(
@@ -325,11 +331,7 @@ def _(spark, sf):
     HI,
 )
 def _(spark, sf):
-    low = F.array_sort("hist")
-    y = F.transform(low, lambda p: p - F.array_min("hist"))
-    ranked = F.transform(y, lambda p, i: (2 * (i + 1) - F.size("hist") - 1) * p)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, p: s + p)
-    return V.histograms(spark, sf).select("video", "frame_no", (total(ranked) / (F.size("hist") * (total(y) + 1e-9))).alias("gini"), (-total(F.transform("hist", lambda p: p * F.ln(p + 1e-9)))).alias("entropy"))
+    return V.histograms(spark, sf).select("video", "frame_no", gini_of("hist").alias("gini"), entropy_of("hist").alias("entropy"))
 
 
 @query("composite_sci", "SELECT CAST(o_orderkey AS VARCHAR) AS video, 0.22 * (k / 97) + 0.22 * (k / 98) + 0.15 * (k / 99) + 0.15 * (k / 100) + 0.18 * (k / 101) + 0.08 * (k / 102) AS sci FROM (SELECT o_orderkey, (o_orderkey % 97)::DOUBLE AS k FROM orders)", "sci")
@@ -354,12 +356,12 @@ def _(spark, sf):
 @query(
     "temporal_window_coverage",
     """SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS file, w AS "window", o AS overlap_minutes, 100 * o / len AS coverage_pct, 100 * sum(o) OVER (PARTITION BY d) / sum(len) OVER (PARTITION BY d) AS total_coverage_pct FROM (
-  SELECT d, w, b - a AS len, greatest(0, least(m1, b) - greatest(m0, a)) AS o FROM (SELECT CAST(ts AS DATE) AS d, min(epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 6e7 AS m0, max(epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 6e7 AS m1 FROM events WHERE user_id < 20 GROUP BY 1),
+  SELECT d, w, b - a AS len, greatest(0, least(m1, b) - greatest(m0, a)) AS o FROM (SELECT CAST(ts AS DATE) AS d, min(epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 6e7 AS m0, max(epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 6e7 AS m1 FROM events GROUP BY 1),
   (VALUES ('07:00-09:30', 420.0::DOUBLE, 570.0::DOUBLE), ('22:00-23:59', 1320.0::DOUBLE, 1439.0::DOUBLE)) v(w, a, b))""",
     "overlap_minutes coverage_pct total_coverage_pct",
 )
 def _(spark, sf):
-    e = V.table(spark, sf, "events").where("user_id < 20")
+    e = V.table(spark, sf, "events")
     spans = e.groupBy(F.col("ts").cast("date").cast("string").alias("file")).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     return video.window_coverage(spans, [("07:00", "09:30"), ("12:00", "12:00"), ("22:00", "23:59")])
 
@@ -375,10 +377,19 @@ def _(spark, sf):
     return video.sampled(V.features(spark, sf).select("video", "frame_no", "ts"))
 
 
-@query("stream_coverage", "SELECT p_brand AS sequence, string_agg(DISTINCT upper(substr(p_type, 1, 1)), ',' ORDER BY upper(substr(p_type, 1, 1))) AS present, '' AS missing, 100.0::DOUBLE AS coverage_pct FROM part WHERE p_type IS NOT NULL GROUP BY p_brand", "coverage_pct")
+_STREAMS = "CASE upper(substr(p_type, 1, 1)) WHEN 'S' THEN 'D' WHEN 'M' THEN 'V' ELSE upper(substr(p_type, 1, 1)) END"
+
+
+@query(
+    "stream_coverage",
+    """SELECT sequence, present, CASE WHEN d AND p THEN 'X' WHEN d THEN 'P,X' WHEN p THEN 'D,X' ELSE 'D,P,X' END AS missing, round_even(100.0::DOUBLE * (d::INT + p::INT) / 3, 1) AS coverage_pct
+  FROM (SELECT sequence, string_agg(DISTINCT s, ',' ORDER BY s) AS present, bool_or(s IN ('D', 'V')) AS d, bool_or(s = 'P') AS p FROM files GROUP BY sequence)""",
+    "coverage_pct",
+    f"files AS (SELECT p_brand || '-' || CAST(p_size AS VARCHAR) AS sequence, {_STREAMS} AS s FROM part WHERE p_type IS NOT NULL)",
+)
 def _(spark, sf):
-    files = V.table(spark, sf, "part").select(F.col("p_brand").alias("sequence"), F.concat(F.lit("/data/VIDc_x_"), F.lower(F.substring("p_type", 1, 1)), F.lit(".mp4")).alias("path"))
-    out = video.stream_coverage(files, ())
+    files = V.table(spark, sf, "part").where("p_type is not null").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("sequence"), F.concat(F.lit("/data/VIDc_x_"), F.lower(F.expr(_STREAMS)), F.lit(".mp4")).alias("path"))
+    out = video.stream_coverage(files, ("d", "P", "X"))
     return out.withColumns({c: F.array_join(c, ",") for c in ("present", "missing")})
 
 
@@ -579,6 +590,79 @@ def _(spark, sf):
     return V.metric_rows(spark, sf).select(summary.clip("path").alias("path"), summary.video_flags().alias("video_flags"), summary.log_flags().alias("log_flags"))
 
 
+# ------------------------------------------------------------------- documents, maps and kernels
+
+
+@query(
+    "openlabel_scan",
+    """SELECT CAST(s_nationkey AS VARCHAR) AS scene, CAST(s_suppkey % 5 AS INT) AS frame, s_suppkey AS id, s_acctbal AS x, s_acctbal / 2 AS y, 0.25 AS yaw, 4.5 AS length, (s_suppkey % 3)::DOUBLE AS width,
+  CASE s_suppkey % 4 WHEN 0 THEN 'car' WHEN 1 THEN 'truck' WHEN 2 THEN 'other' ELSE 'other' END AS vclass FROM supplier WHERE s_suppkey % 7 <> 0""",
+    "x y yaw length width",
+)
+def _(spark, sf):
+    s = V.table(spark, sf, "supplier")
+    kind = F.array(*map(F.lit, ("Car", "truck", "Boat", "")))[(F.col("s_suppkey") % 4).cast("int")]
+    val = F.array(*(F.col("s_acctbal").cast("double") * k for k in (1.0, 0.5, 0.0, 0.0, 0.0)), F.lit(0.25), F.lit(4.5), (F.col("s_suppkey") % 3).cast("double"))
+    cuboid = F.struct(F.when(F.col("s_suppkey") % 7 != 0, F.array(F.struct(val.alias("val")))).alias("cuboid"))
+    rows = s.select(F.col("s_nationkey").cast("string").alias("path"), F.col("s_suppkey").cast("string").alias("id"), (F.col("s_suppkey") % 5).cast("string").alias("frame"), kind.alias("kind"), F.struct(cuboid.alias("object_data")).alias("o"))
+    table = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    frames = rows.groupBy("path", "frame").agg(table("id", "o").alias("objects")).groupBy("path").agg(table("frame", F.struct("objects")).alias("frames"))
+    kinds = rows.groupBy("path").agg(table("id", F.struct(F.col("kind").alias("type"))).alias("objects"))
+    docs = kinds.join(frames, "path").select("path", F.to_json(F.struct(F.struct("objects", "frames").alias("openlabel"))).alias("text"))
+    return documents.openlabel(docs)
+
+
+@query(
+    "metric_document_rows",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS path, round_even((o_orderkey % 101) / 101.0::DOUBLE * 100, 2) AS tds, (o_orderkey % 97)::DOUBLE AS tcomp, round_even(100 - (o_orderkey % 89) / 8.0::DOUBLE, 2) AS dup,
+  CASE WHEN o_orderkey % 3 <> 0 THEN round_even((o_orderkey % 83) / 83.0::DOUBLE * 100, 2) END AS sci, round_even((o_orderkey % 79) / 79.0::DOUBLE * 100, 2) AS blk, CAST(NULL AS DOUBLE) AS fov FROM orders""",
+    "tds tcomp dup sci blk",
+)
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    share = lambda n: (k % n).cast("double") / n
+    one = lambda name, v: F.struct(v.alias(name))
+    video_part = F.struct(
+        F.struct(share(101).alias("Temporal Distortion Score (TDS)"), (k % 97).cast("double").alias("Temporal Completeness (%)")).alias("compute_temporal_metrics"),
+        one("Duplicate Record Rate (%)", (k % 89).cast("double") / 8).alias("compute_duplicate_record_rate_video"),
+        one("Composite SCI (0..1)", F.when(k % 3 != 0, share(83))).alias("compute_sensor_consistency"),
+        one("Partial Blockage Score (0..1)", share(79)).alias("compute_sensor_degradation"),
+    )
+    text = F.to_json(F.struct(video_part.alias("video")))
+    docs = V.table(spark, sf, "orders").select(k.cast("string").alias("path"), F.from_json(text, documents.METRIC_JSON).alias("doc"))
+    return documents.video_rows(docs)
+
+
+@query(
+    "map_lanes",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS road_id, lane_id, '-1' AS junction, CASE WHEN n_nationkey % 2 = 0 THEN 20.0 + n_nationkey
+    ELSE (20 + n_nationkey) * 2 * (100 - side * (i + 0.5) * 3) * sin(1 / 200.0::DOUBLE) END AS length_m
+  FROM nation, (VALUES (1, 1, 0), (2, 1, 1), (-1, -1, 0)) v(lane_id, side, i)""",
+    "length_m",
+)
+def _(spark, sf):
+    # roads along a line, or bent to the left with a radius of 100 m, 1 m between sampled points
+    n = F.col("n_nationkey").cast("string")
+    at = F.format_string('s="0" x="%s" y="5" hdg="0.5" length="%s"', n, (F.col("n_nationkey") + 20).cast("string"))
+    shape = F.when(F.col("n_nationkey") % 2 == 0, F.lit("<p:line/>")).otherwise(F.lit('<p:arc curvature="0.01"/>'))
+    lane = lambda k, kind="driving": f'<p:lane id="{k}" type="{kind}"><p:width sOffset="0" a="3" b="0" c="0" d="0"/></p:lane>'
+    sides = F.lit(f"<p:lanes><p:laneSection s=\"0\"><p:left>{lane(2)}{lane(1)}</p:left><p:right>{lane(-1)}{lane(-2, 'sidewalk')}</p:right></p:laneSection></p:lanes>")
+    road = F.concat(F.lit('<p:road id="'), n, F.lit('" junction="-1"><p:planView><p:geometry '), at, F.lit(">"), shape, F.lit("</p:geometry></p:planView>"), sides, F.lit("</p:road>"))
+    maps = V.table(spark, sf, "nation").select(F.concat(F.lit('<p:OpenDRIVE xmlns:p="urn:x">'), road, F.lit("</p:OpenDRIVE>")).alias("xml"))
+    return opendrive.lanes(opendrive.from_text(maps)).select("road_id", "lane_id", "junction", "length_m")
+
+
+@query(
+    "frame_kernels",
+    """SELECT CAST(c_custkey AS VARCHAR) AS video, (c_custkey % 256)::DOUBLE AS brightness, (c_custkey % 256)::DOUBLE AS mean_b, 0.0::DOUBLE AS laplacian_variance, 0.0::DOUBLE AS noise_std, CASE WHEN c_custkey % 256 <= 30 THEN 1.0::DOUBLE ELSE 0.0 END AS low_intensity,
+  1.0::DOUBLE AS low_texture, CASE WHEN c_custkey % 256 <= 30 THEN 1.0::DOUBLE ELSE 0.0 END AS border_left, 0.0::DOUBLE AS edge_gini, 0.0::DOUBLE AS tile_entropy, 1.0::DOUBLE AS border_constant FROM customer""",
+    "brightness mean_b low_intensity border_left",
+)
+def _(spark, sf):
+    frames = V.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("video"), F.lit(0).cast("long").alias("frame_no"), F.lit(0.0).alias("ts"), F.lit(32).alias("height"), F.lit(48).alias("width"), F.lit(3).alias("nChannels"), F.unhex(F.repeat(F.lpad(F.hex(F.col("c_custkey") % 256), 2, "0"), 32 * 48 * 3)).alias("data"))
+    return kernels.frame_features(frames).select("video", "brightness", "mean_b", "laplacian_variance", "noise_std", "low_intensity", "low_texture", "border_left", "edge_gini", "tile_entropy", "border_constant")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -123,7 +123,7 @@ def load_map(spark: SparkSession, path: str | None = None, log: str | None = Non
         if xml.isEmpty():
             raise ValueError("no map is given and the log has none")
         roads = opendrive.from_text(xml)
-        offset = F.expr("from_xml(xml, 'header STRUCT<offset: STRUCT<_x: DOUBLE, _y: DOUBLE>>').header")
+        offset = F.from_xml("xml", "header STRUCT<offset: STRUCT<_x: DOUBLE, _y: DOUBLE>>", {"ignoreNamespace": "true"})["header"]
         head = xml.select(offset.alias("h")).select("h.*").first()
     else:
         raise ValueError("a map is needed")

@@ -141,6 +141,37 @@ def _lights(file, seq, m):
         yield (file, seq, _nanos(m), *(int(_path(light, "classification", f, default=0)) for f in ("color", "mode", "icon")))
 
 
+def _located(file: str):
+    """(file system, path there) of a path or URI."""
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(file) if "://" in file or file.startswith("file:") else (pafs.LocalFileSystem(), file)
+
+
+def files_of(paths: str) -> list[str]:
+    """The logs that a list of paths, divided by commas, stands for: files as they are; folders by the
+    *.mcap files in and below them; patterns (* ? [..]) by the files they match below their folder."""
+    import fnmatch
+
+    import pyarrow.fs as pafs
+
+    out: list[str] = []
+    for path in filter(None, paths.split(",")):
+        parts = path.split("/")
+        first = next((k for k, x in enumerate(parts) if any(c in x for c in "*?[")), None)
+        folder = "/".join(parts[:first]) or ("/" if path.startswith("/") else ".") if first is not None else path
+        fs, at = _located(folder)
+        if first is None and fs.get_file_info(at).type != pafs.FileType.Directory:
+            out.append(path)
+            continue
+        pattern = f"{at.rstrip('/')}/{'/'.join(parts[first:])}" if first is not None else "*.mcap"
+        lead = folder[: len(folder) - len(at)] if folder.endswith(at) else ""
+        found = fs.get_file_info(pafs.FileSelector(at, recursive=True))
+        depth = pattern.count("/")
+        out += sorted(lead + f.path for f in found if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.path, pattern) and (first is None or f.path.count("/") == depth))
+    return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, files: list[str], table: str):
         self.files, self.table = files, table
@@ -149,10 +180,8 @@ class _Reader(DataSourceReader):
         return [InputPartition(f) for f in self.files]
 
     def read(self, partition):
-        import pyarrow.fs as pafs
-
         file = partition.value
-        fs, path = pafs.FileSystem.from_uri(file) if "://" in file or file.startswith("file:") else (pafs.LocalFileSystem(), file)
+        fs, path = _located(file)
         with fs.open_input_stream(path) as f:
             raw = f.read()
         decode, seq = Decoder(), 0
@@ -173,7 +202,7 @@ class _Reader(DataSourceReader):
 
 
 class TrajectoryLog(DataSource):
-    """Options: path (a file, or several by commas), table."""
+    """Options: path (files, folders or patterns, several by commas), table."""
 
     @classmethod
     def name(cls):
@@ -189,7 +218,7 @@ class TrajectoryLog(DataSource):
         return SCHEMAS[self._table()]
 
     def reader(self, schema):
-        return _Reader([p for p in self.options["path"].split(",") if p], self._table())
+        return _Reader(files_of(self.options["path"]), self._table())
 
 
 def register(spark: SparkSession) -> None:

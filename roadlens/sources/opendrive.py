@@ -15,7 +15,7 @@ RING_LEAST = 0.75
 SECTORS_LEAST = 0.75
 
 _POLY = "STRUCT<_aU: DOUBLE, _bU: DOUBLE, _cU: DOUBLE, _dU: DOUBLE, _aV: DOUBLE, _bV: DOUBLE, _cV: DOUBLE, _dV: DOUBLE, _pRange: STRING>"
-_GEOMETRY = f"ARRAY<STRUCT<_s: DOUBLE, _x: DOUBLE, _y: DOUBLE, _hdg: DOUBLE, _length: DOUBLE, line: STRING, paramPoly3: {_POLY}, arc: STRUCT<_curvature: DOUBLE>, spiral: STRUCT<_curvStart: DOUBLE>>>"
+_GEOMETRY = f"ARRAY<STRUCT<_s: DOUBLE, _x: DOUBLE, _y: DOUBLE, _hdg: DOUBLE, _length: DOUBLE, line: STRING, paramPoly3: {_POLY}, arc: STRUCT<_curvature: DOUBLE>, spiral: STRUCT<_curvStart: DOUBLE, _curvEnd: DOUBLE>>>"
 _LANES = "STRUCT<lane: ARRAY<STRUCT<_id: INT, _type: STRING, width: ARRAY<STRUCT<_sOffset: DOUBLE, _a: DOUBLE, _b: DOUBLE, _c: DOUBLE, _d: DOUBLE>>>>>"
 _OBJECTS = "STRUCT<object: ARRAY<STRUCT<_id: STRING, _type: STRING, _s: DOUBLE, _t: DOUBLE, _hdg: DOUBLE, outline: STRUCT<cornerLocal: ARRAY<STRUCT<_u: DOUBLE, _v: DOUBLE>>>>>>"
 ROAD = f"_id STRING, _junction STRING, planView STRUCT<geometry: {_GEOMETRY}>, lanes STRUCT<laneSection: ARRAY<STRUCT<_s: DOUBLE, left: {_LANES}, right: {_LANES}>>>, objects {_OBJECTS}"
@@ -26,15 +26,16 @@ PARKING = "ring array<struct<x: double, y: double>>"
 
 
 def read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    """Rows of one element (road, header, junction) of a map file."""
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    """Rows of one element (road, header, junction) of a map file, whatever namespace prefix its
+    elements have."""
+    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
 
 
 def from_text(texts: DataFrame, column: str = "xml") -> DataFrame:
     """Roads of maps held as text: one row per road, with the other columns."""
     doc = f"header STRUCT<{HEADER.replace(' STRING', ': STRING', 1).replace('offset STRUCT', 'offset: STRUCT')}>, road ARRAY<STRUCT<_id: STRING, _junction: STRING, planView: STRUCT<geometry: {_GEOMETRY}>, lanes: STRUCT<laneSection: ARRAY<STRUCT<_s: DOUBLE, left: {_LANES}, right: {_LANES}>>>, objects: {_OBJECTS}>>"
     others = [c for c in texts.columns if c != column]
-    return texts.select(*others, F.explode(F.from_xml(F.col(column), doc)["road"]).alias("r")).select(*others, "r.*")
+    return texts.select(*others, F.explode(F.from_xml(F.col(column), doc, {"ignoreNamespace": "true"})["road"]).alias("r")).select(*others, "r.*")
 
 
 def base_crs(reference: str):
@@ -56,7 +57,8 @@ def reference_line(geometry) -> np.ndarray:
             du, dv = (sum(i * (poly[f"_{k}{a}"] or 0.0) * p ** (i - 1) for i, k in enumerate("abcd") if i) for a in "UV")
             x, y, h = g["_x"] + u * c - v * s, g["_y"] + u * s + v * c, g["_hdg"] + np.arctan2(dv, du)
         elif g["arc"] is not None or g["spiral"] is not None:
-            raise ValueError("only line and paramPoly3 segments are supported")
+            ends = (g["arc"]["_curvature"],) * 2 if g["arc"] is not None else (g["spiral"]["_curvStart"], g["spiral"]["_curvEnd"])
+            x, y, h = _bent(g, d, *((k or 0.0) for k in ends))
         else:
             x, y, h = g["_x"] + d * c, g["_y"] + d * s, np.full(len(d), g["_hdg"])
         part = np.stack([g["_s"] + d, x, y, h], axis=1)
@@ -64,6 +66,20 @@ def reference_line(geometry) -> np.ndarray:
     return np.concatenate(out)
 
 
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(6)
+
+
+def _bent(g, d: np.ndarray, k0: float, k1: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, heading) at the distances d (from 0 on) along a segment whose curvature goes linearly
+    from k0 to k1: an arc where they are equal, else a spiral. Headings are exact, and places their
+    integrals by quadrature between neighbouring distances."""
+    turn = lambda t: g["_hdg"] + k0 * t + (k1 - k0) * t * t / (2 * g["_length"])
+    half = np.diff(d) / 2
+    angle = turn((d[:-1] + half)[:, None] + half[:, None] * _NODES)
+    place = lambda start, f: start + np.r_[0.0, np.cumsum((f(angle) * _WEIGHTS).sum(axis=1) * half)]
+    return place(g["_x"], np.cos), place(g["_y"], np.sin), turn(d)
+
+
 def _width(widths, ds: np.ndarray, polynomial: bool) -> np.ndarray:
     if not polynomial:
         return np.full(len(ds), widths[0]["_a"])

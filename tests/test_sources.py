@@ -109,6 +109,58 @@ def test_trajectory_log(spark, tmp_path, codec):
     assert (v.x, v.y, v.vclass) == (11.0, 1.5, "car")
 
 
+def test_folders_and_patterns_of_logs(spark, tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    names = ["d/a.mcap", "d/b.mcap", "d/e/c.mcap", "d/note.txt"]
+    for n in names:
+        write_log(tmp_path / n, "", XML)
+    at = lambda *some: [f"{tmp_path}/{n}" for n in some]
+    assert mcap.files_of(f"{tmp_path}/d") == at(*names[:3])
+    assert mcap.files_of(f"{tmp_path}/d/*.mcap") == at(*names[:2]) and mcap.files_of(f"{tmp_path}/d/*/c.mcap") == at(names[2])
+    assert mcap.files_of(f"{tmp_path}/d/[b].mcap,{tmp_path}/d/a.mcap") == at(names[1], names[0])
+    mcap.register(spark)
+    assert spark.read.format("trajectory_log").load(f"{tmp_path}/d").count() == 240
+
+
+def test_prefixed_maps(spark, tmp_path):
+    import re
+
+    from roadlens.sources import opendrive
+
+    plain, prefixed = tmp_path / "a.xodr", tmp_path / "b.xodr"
+    plain.write_text(XML)
+    prefixed.write_text(re.sub(r"(</?)(?=\w)", r"\1od:", XML).replace('xmlns="', 'xmlns:od="'))
+    found = [opendrive.lanes(opendrive.read(spark, str(p), "road", opendrive.ROAD)).collect() for p in (plain, prefixed)]
+    assert len(found[0]) == 1 and found[0] == found[1]
+    assert opendrive.read(spark, str(prefixed), "header", opendrive.HEADER).first().offset._x == 10.0
+    t = json.loads(reports.traffic_report(spark, log=_log(tmp_path), map_path=str(prefixed)))
+    assert t["network"]["objects"] == 2
+
+
+def _log(folder):
+    write_log(folder / "own.mcap", "", XML)
+    return str(folder / "own.mcap")
+
+
+def test_arcs_and_spirals():
+    import numpy as np
+
+    from roadlens.sources.opendrive import reference_line
+
+    def segment(**shape):
+        return {"_s": 0.0, "_x": 1.0, "_y": 2.0, "_hdg": 0.3, "_length": 50.0, "paramPoly3": None, "arc": None, "spiral": None, **shape}
+
+    line = reference_line([segment(arc={"_curvature": 0.02})])
+    s = line[:, 0]
+    assert np.allclose(line[:, 1], 1 + (np.sin(0.3 + 0.02 * s) - np.sin(0.3)) / 0.02) and np.allclose(line[:, 2], 2 - (np.cos(0.3 + 0.02 * s) - np.cos(0.3)) / 0.02)
+    same = reference_line([segment(spiral={"_curvStart": 0.02, "_curvEnd": 0.02})])
+    assert np.allclose(same, line) and np.allclose(reference_line([segment(arc={"_curvature": 0.0})])[-1], [50, 1 + 50 * np.cos(0.3), 2 + 50 * np.sin(0.3), 0.3])
+    bent = reference_line([segment(spiral={"_curvStart": -0.01, "_curvEnd": 0.05})])
+    t = np.linspace(0, 50, 200_001)
+    angle = 0.3 - 0.01 * t + 0.06 / 100 * t * t
+    assert np.allclose(bent[-1, 1:3], [1 + np.trapezoid(np.cos(angle), t), 2 + np.trapezoid(np.sin(angle), t)], atol=1e-6) and np.isclose(bent[-1, 3], angle[-1])
+
+
 def test_reports(spark, tmp_path):
     path = tmp_path / "a.mcap"
     write_log(path, "zstd", XML)

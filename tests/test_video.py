@@ -108,3 +108,22 @@ def test_stream(spark, tmp_path):
     q.stop()
     r = spark.table("seen").orderBy("start").first()
     assert (r.samples, r.objects, r.fast_samples) == (4, 2, 2)
+
+
+def test_missing_times_are_no_duplicates(spark):
+    rows = [("a", k, t) for k, t in enumerate([float("nan")] * 3)] + [("b", k, t) for k, t in enumerate([0.0, 0.0, None, float("nan"), 1.0])] + [("c", 0, None)]
+    got = {r.video: (r.frames, r.duplicates) for r in video.duplicate_rate(spark.createDataFrame(rows, "video string, frame_no long, ts double")).collect()}
+    assert got == {"a": (3, 0), "b": (5, 1), "c": (1, 0)}
+
+
+def test_bilinear_resize():
+    g = np.array([[0.0, 100.0], [200.0, 100.0]])
+    assert kernels.resize_bilinear(g, 2, 2).tolist() == g.tolist() and kernels.resize_bilinear(g, 1, 1).tolist() == [[100.0]]
+    assert kernels.resize_bilinear(g, 2, 4).tolist() == [[0, 25, 75, 100], [200, 175, 125, 100]]
+    rng = np.random.default_rng(0)
+    big = np.rint(rng.uniform(0, 255, (97, 61)))
+    small = kernels.resize_bilinear(big, 32, 32)
+    y, x = (10.5 * 97 / 32 - 0.5), (20.5 * 61 / 32 - 0.5)
+    a, b, fy, fx = int(y), int(x), y % 1, x % 1
+    want = (big[a, b] * (1 - fx) + big[a, b + 1] * fx) * (1 - fy) + (big[a + 1, b] * (1 - fx) + big[a + 1, b + 1] * fx) * fy
+    assert small[10, 20] == np.rint(want) and (kernels.resize_bilinear(np.full((3, 1), 7.0), 32, 32) == 7).all()
