@@ -202,31 +202,59 @@ def describe(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     """256-bit descriptors by comparing smoothed pixels in pairs turned to the patch's centroid."""
     s = box_mean(g, 5)
     span = np.arange(-15, 16)
-    out = np.zeros((len(at), 256), bool)
-    for k, (y, x) in enumerate(at):
-        patch = g[y - 15 : y + 16, x - 15 : x + 16]
-        turn = np.arctan2((patch * span[:, None]).sum(), (patch * span[None, :]).sum())
-        c, n = np.cos(turn), np.sin(turn)
-        yx = lambda px, py: s[np.clip(np.rint(y + px * n + py * c), 0, g.shape[0] - 1).astype(int), np.clip(np.rint(x + px * c - py * n), 0, g.shape[1] - 1).astype(int)]  # noqa: B023, E731
-        out[k] = yx(_PAIRS[:, 0], _PAIRS[:, 1]) < yx(_PAIRS[:, 2], _PAIRS[:, 3])
-    return out
-
-
-def view_change(ref: np.ndarray, cur: np.ndarray, rounds: int = 500) -> tuple[float | None, float | None, int]:
-    """(scale, rotation in degrees, inliers) of a similarity from ref to cur, by matched corners and
-    random sampling; None without 20 corners and 20 matches (a match beats the next by 0.75)."""
-    a, b = corners(ref), corners(cur)
+    y, x = at[:, 0], at[:, 1]
+    patch = g[y[:, None, None] + span[:, None], x[:, None, None] + span]
+    turn = np.arctan2((patch * span[:, None]).sum(axis=(1, 2)), (patch * span).sum(axis=(1, 2)))
+    c, n = np.cos(turn)[:, None], np.sin(turn)[:, None]
+
+    def pixel(px, py):
+        row, col = np.rint(y[:, None] + px * n + py * c), np.rint(x[:, None] + px * c - py * n)
+        return s[np.clip(row, 0, g.shape[0] - 1).astype(int), np.clip(col, 0, g.shape[1] - 1).astype(int)]
+
+    return pixel(_PAIRS[:, 0], _PAIRS[:, 1]) < pixel(_PAIRS[:, 2], _PAIRS[:, 3])
+
+
+LEVELS, FACTOR, CORNERS = 8, 1.2, 2000
+
+
+def described(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places x + iy, descriptors) of the corners of an image and of its smaller copies, each by FACTOR
+    smaller than the one before; a copy's share of CORNERS goes with its width."""
+    share = FACTOR ** -np.arange(LEVELS)
+    places, bits = [], []
+    for k, n in enumerate(np.rint(CORNERS * share / share.sum()).astype(int).tolist()):
+        h, w = (int(round(size * share[k])) for size in g.shape)
+        if min(h, w) < 34:  # no room for a patch
+            break
+        small = resize_bilinear(g, h, w) if k else g
+        at = corners(small, n)
+        if len(at):
+            places.append(((at[:, 1] + 0.5) / w * g.shape[1] - 0.5) + 1j * ((at[:, 0] + 0.5) / h * g.shape[0] - 0.5))
+            bits.append(describe(small, at))
+    if not places:
+        return np.zeros(0, complex), np.zeros((0, 256), bool)
+    return np.concatenate(places), np.concatenate(bits)
+
+
+def view_change(ref: np.ndarray, cur: np.ndarray) -> tuple[float | None, float | None, int]:
+    """similarity() from image ref to image cur."""
+    return similarity(*described(ref), *described(cur))
+
+
+def similarity(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray, rounds: int = 500) -> tuple[float | None, float | None, int]:
+    """(scale, rotation in degrees, inliers) of a similarity from corners a to b, by matched descriptors
+    and random sampling; None without 20 corners and 20 matches (a match beats the next by 0.75)."""
     if len(a) < 20 or len(b) < 20:
         return None, None, 0
-    da, db = describe(ref, a).astype(np.float32), describe(cur, b).astype(np.float32)
+    da, db = da.astype(np.float32), db.astype(np.float32)
     far = da.sum(1)[:, None] + db.sum(1)[None, :] - 2 * da @ db.T
-    two = np.argsort(far, axis=1)[:, :2]
+    two = np.argpartition(far, 1, axis=1)[:, :2]
+    two = np.take_along_axis(two, np.argsort(np.take_along_axis(far, two, 1), axis=1, kind="stable"), 1)
     d1, d2 = (np.take_along_axis(far, two[:, k : k + 1], 1)[:, 0] for k in (0, 1))
     good = d1 < 0.75 * d2
     if good.sum() < 20:
         return None, None, int(good.sum())
-    p = a[good][:, 1] + 1j * a[good][:, 0]
-    q = b[two[good, 0]][:, 1] + 1j * b[two[good, 0]][:, 0]
+    p, q = a[good], b[two[good, 0]]
     rng = np.random.default_rng(3)
     best = np.zeros(len(p), bool)
     for _ in range(rounds):
@@ -246,22 +274,32 @@ def view_change(ref: np.ndarray, cur: np.ndarray, rounds: int = 500) -> tuple[fl
 
 def view_changes(frames: DataFrame, stride: int = 5) -> DataFrame:
     """video, frame_no, scale, rotation_deg, inliers of every stride-th frame against the first. The
-    first frame joins its video's sampled frames, so a video needn't lie in one task."""
+    first frame's corners, found once, join its video's sampled frames, so a video needn't lie in one
+    task and no image is shipped for it."""
     from pyspark.sql import functions as F
 
-    sampled = frames.where(F.col("frame_no") % stride == 0)
-    first = frames.where("frame_no = 0").select("video", F.struct("height", "width", "nChannels", "data").alias("ref"))
+    cols = ["height", "width", "nChannels", "data"]
+    sampled = frames.where(F.col("frame_no") % stride == 0).select("video", "frame_no", *cols)
+
+    def image(row):
+        h, w, n, data = row
+        return gray(image_of(data, h, w, n).astype(float))
+
+    def first(batches):
+        for b in batches:
+            seen = [described(image(x)) for x in zip(*(b[c] for c in cols))]
+            yield pd.DataFrame({"video": b["video"], "places": [a.astype("<c16").tobytes() for a, _ in seen], "bits": [np.packbits(d, axis=1).tobytes() for _, d in seen]})
 
     def run(batches):
         for b in batches:
             rows = []
-            for v, n, r, *x in zip(b["video"], b["frame_no"], b["ref"], b["data"], b["height"], b["width"], b["nChannels"]):
-                ref = gray(image_of(r["data"], r["height"], r["width"], r["nChannels"]).astype(float))
-                rows.append((v, n, *view_change(ref, gray(image_of(*x).astype(float)))))
+            for v, n, places, bits, *x in zip(b["video"], b["frame_no"], b["places"], b["bits"], *(b[c] for c in cols)):
+                ref = np.frombuffer(places, "<c16"), np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, 32), axis=1)
+                rows.append((v, n, *similarity(*ref, *described(image(x)))))
             yield pd.DataFrame(rows, columns=["video", "frame_no", "scale", "rotation_deg", "inliers"])
 
-    joined = sampled.join(first, "video").select("video", "frame_no", "ref", "data", "height", "width", "nChannels")
-    return joined.mapInPandas(run, "video string, frame_no long, scale double, rotation_deg double, inliers int")
+    refs = frames.where("frame_no = 0").select("video", *cols).mapInPandas(first, "video string, places binary, bits binary")
+    return sampled.join(refs, "video").select("video", "frame_no", "places", "bits", *cols).mapInPandas(run, "video string, frame_no long, scale double, rotation_deg double, inliers int")
 
 
 def traffic_scores(frames: DataFrame, background: int = 120, alpha: float = 0.75, stride: int = 3) -> DataFrame:

@@ -59,6 +59,16 @@ def test_view_change():
     assert kernels.view_change(flat(9)[..., 0].astype(float), big)[0] is None
 
 
+def test_view_change_by_zoom():
+    rng = np.random.default_rng(5)
+    big = kernels.box_mean(rng.integers(0, 256, (360, 480)).astype(float), 9)
+    big = np.rint((big - big.min()) / np.ptp(big) * 255)
+    for zoom in (1.2, 1.5, 2.0):
+        h, w = int(360 / zoom), int(480 / zoom)
+        scale, turn, n = kernels.view_change(big, kernels.resize_bilinear(big[20 : 20 + h, 30 : 30 + w], 360, 480))
+        assert n >= 20 and abs(scale - 360 / h) < 0.03 * zoom and abs(turn) < 1.5, (zoom, scale, turn, n)
+
+
 def test_report_of_a_steady_video(spark):
     df = frames(spark, [noise(1)] * 12)
     out = reports.video_metrics(df, stride=1, views=True)["v"]
