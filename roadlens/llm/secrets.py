@@ -8,8 +8,9 @@ Added kind `entropy`: a candidate is a run of 20 or more token characters. The c
 (hexadecimal, alphanumeric, base64) sets the threshold; a window of WINDOW characters slides over
 it with its character counts kept incrementally, so that a step costs two count changes whatever
 the window's size; windows at or over the threshold merge into spans. An allow-list suppresses
-candidates that are ordinary: words, numbers, identifiers in one letter case without digits,
-UUIDs, paths, addresses, version-like lists, and anything matching `allow`.
+candidates that are ordinary as a whole: anything without a digit (words, paths, identifiers), numbers
+and rules, joined words with up to four digits at their end, UUIDs, filler that repeats its first
+character eight times, and anything matching `allow`.
 
 Defined results: null text is empty (no spans); repeated rows are reported each; an empty table
 gives no rows; extra columns are not read by scan() and kept by redact()."""
@@ -36,9 +37,8 @@ WINDOW = 20
 # Bits per character that a window must reach, by character class.
 THRESHOLD = {"hex": 2.9, "alnum": 3.6, "base64": 3.8}
 ALLOW = (
-    r"[A-Za-z]+",  # one word
+    r"[^0-9]+",  # words, paths, identifiers
     r"[0-9_=-]+",  # numbers, rules
-    r"[a-z_/=+-]+|[A-Z_/=+-]+",  # identifiers and paths without digits
     r"(?:[A-Za-z]+[_/=+-])+[A-Za-z]+[0-9]{0,4}",  # joined words
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
     r"(.)\1{7,}.*",  # filler
@@ -54,7 +54,7 @@ def _class(s: str) -> str:
 
 def entropy_spans(s: str, allow: re.Pattern) -> list[tuple[int, int]]:
     """Spans of a candidate whose windows reach its class's threshold."""
-    if allow.fullmatch(s) or not any(c.isdigit() for c in s):
+    if allow.fullmatch(s):
         return []
     limit = THRESHOLD[_class(s)]
     counts: dict[str, int] = {}

@@ -166,6 +166,22 @@ def test_files(spark, tmp_path, monkeypatch):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_odd_rows_of_token_files_and_pieces(spark, tmp_path):
+    rows = [(7, "b b", 1, "p"), (7, "a a", 2, "q"), (None, "n n", 3, "r"), (7, "a a", 4, "s"), (3, None, 5, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, part string")
+    path = str(tmp_path / "odd")
+    token_files.write(df, BYTE, path)
+    tok = token_files.Encoder(BYTE).tok
+    got = token_files.read(spark, path, with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 3, 7, 7, 7]
+    assert [r.ids for r in got] == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in ("n n", "", "a a", "a a", "b b")]
+    assert [r.start for r in got] == np.cumsum([0] + [len(r.ids) for r in got])[:-1].tolist()
+    out = pieces.round_trip_digests(df, PIECE).collect()
+    lib = pieces.pieces(PIECE).lib
+    want = lambda t: hashlib.sha256(",".join(map(str, lib.encode(t or ""))).encode()).hexdigest()
+    assert sorted((repr(r.doc_id), r.ids_sha256) for r in out) == sorted((repr(i), want(t)) for i, t, _, _ in rows)
+
+
 def test_best_fit():
     rng = random.Random(9)
     lengths = sorted((rng.randrange(1, 16385) for _ in range(3000)), reverse=True)

@@ -119,3 +119,12 @@ def test_few_rows(spark):
     out = neighbours.nearest(df, df.where("vec_id = 100")).collect()
     assert [(r["rank"], r.vec_id) for r in sorted(out, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_neighbours_beside_other_columns(spark):
+    rows = [(100, [1.0, 0.0], 1, 5.0), (1, [0.9, 0.1], 2, 6.0), (1, [0.5, 0.5], 3, 7.0), (2, [1.0, 0.1], 4, 8.0), (200, [0.0, 0.0], 5, 9.0), (300, None, 6, 9.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key int, score double")
+    got = neighbours.nearest(df, df.where("vec_id % 100 = 0"), 3).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(100, 1, 2), (100, 2, 1), (100, 3, 1)]
+    assert [round(r.score, 6) for r in got] == [0.1, round(math.hypot(0.1, 0.1), 6), round(math.hypot(0.5, 0.5), 6)]
+    assert neighbours.nearest(df.limit(0), df, 3).count() == 0
