@@ -64,6 +64,8 @@ LOWER[65:91] += 32
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 PIECE = 1 << 19
+SHORT = 16  # bytes
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -161,6 +163,30 @@ def span_hashes(units: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return out
 
 
+def edge_words(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """By span data[s:e] of bytes, its first and last eight bytes as two numbers (of eight bytes at
+    most, those bytes and 0). With its size they tell a span of SHORT bytes at most from all others."""
+    size = e - s
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    load = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = np.zeros((2, len(s)), np.uint64)
+    out[0] = load[s] & LOW_BYTES[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 8)
+    out[1, long] = load[e[long] - 8]
+    return out
+
+
+def chunk_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes, whose edge_words are given: of these alone where they tell the span."""
+    size = e - s
+    out = mix(words[0] ^ mix(words[1] + size.astype(np.uint64) * BASE))
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        upto = np.cumsum(size[long])
+        out[long] = span_hashes(data[spread(s[long], size[long])], upto - size[long], upto)
+    return out
+
+
 def text_buffers(column):
     """(bytes, offsets, validity) of an Arrow string column; null texts come out empty."""
     import pyarrow as pa
@@ -254,19 +280,20 @@ class Known:
     """Distinct words (or other strings of units) met so far, each with a row number.
 
     Rows are found by hash in arrays, many at once, and told apart by comparing all their units, so
-    hashes that clash do no harm. `payloads` hold what is known of each row. When `most` rows are
+    hashes that clash do no harm; given the edge_words of all, short ones are compared by these.
+    `payloads` hold what is known of each row. When `most` rows are
     full, those used in the most batches stay, a quarter of them."""
 
     def __init__(self, most: int, kind, payloads: list[Ragged]):
         self.most, self.slots = most, 1 << (2 * most - 1).bit_length()
         self.units, self.payloads = Ragged(kind), payloads
-        self.hash, self.used = np.zeros(most, np.uint64), np.zeros(most, np.int32)
+        self.hash, self.used, self.edges = np.zeros(most, np.uint64), np.zeros(most, np.int32), np.zeros((2, most), np.uint64)
         self._clear()
 
     def _clear(self) -> None:
         self.row = np.full(self.slots, -1, np.int32)
 
-    def _find(self, h, data, s, e) -> np.ndarray:
+    def _find(self, h, data, s, e, edges=None) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         todo, slot = np.arange(len(h)), (h & np.uint64(self.slots - 1)).astype(np.int64)
         while len(todo):
@@ -275,12 +302,17 @@ class Known:
             same = ~free
             same[same] = (self.hash[row[same]] == h[todo[same]]) & (self.units.size[row[same]] == (e - s)[todo[same]])
             own, at = row[same], todo[same]
-            size = (e - s)[at]
             if len(own):
-                unlike = self.units.flat[spread(self.units.at[own], size)] != data[spread(s[at], size)]
+                bad = np.zeros(len(own), bool)
+                rest = np.arange(len(own))
+                if edges is not None:
+                    bad = (self.edges[0, own] != edges[0, at]) | (self.edges[1, own] != edges[1, at])
+                    rest = np.flatnonzero(((e - s)[at] > SHORT) & ~bad)
+                size = (e - s)[at[rest]]
+                unlike = self.units.flat[spread(self.units.at[own[rest]], size)] != data[spread(s[at[rest]], size)]
                 if unlike.any():
-                    bad = np.zeros(len(own), bool)
-                    bad[np.repeat(np.arange(len(own)), size)[unlike]] = True
+                    bad[np.repeat(rest, size)[unlike]] = True
+                if bad.any():
                     same[np.flatnonzero(same)[bad]] = False
                     own, at = own[~bad], at[~bad]
                 out[at] = own
@@ -297,10 +329,11 @@ class Known:
             on = self.row[slot] != todo
             todo, slot = todo[on], (slot[on] + 1) & (self.slots - 1)
 
-    def rows(self, h, data, s, e, learn) -> np.ndarray | None:
+    def rows(self, h, data, s, e, learn, edges=None) -> np.ndarray | None:
         """The row of each word data[s:e] with hash h. learn(indices) adds the payloads of words that
-        are new. None if there are more distinct words than rows."""
-        got = self._find(h, data, s, e)
+        are new. None if there are more distinct words than rows. edges: edge_words, in all calls or
+        in none."""
+        got = self._find(h, data, s, e, edges)
         while (got < 0).any():
             miss = np.flatnonzero(got < 0)
             new = np.sort(miss[np.unique(h[miss], return_index=True)[1]])
@@ -308,14 +341,16 @@ class Known:
                 if len(new) > self.most // 2:
                     return None
                 self._shrink()
-                got = self._find(h, data, s, e)
+                got = self._find(h, data, s, e, edges)
                 continue
             learn(new)
             first, size = self.units.n, (e - s)[new]
             self.units.extend(data[spread(s[new], size)], size)
             self.hash[first : self.units.n], self.used[first : self.units.n] = h[new], 0
+            if edges is not None:
+                self.edges[:, first : self.units.n] = edges[:, new]
             self._insert(np.arange(first, self.units.n))
-            got[miss] = self._find(h[miss], data, s[miss], e[miss])
+            got[miss] = self._find(h[miss], data, s[miss], e[miss], None if edges is None else edges[:, miss])
         some = np.zeros(self.units.n, bool)
         some[got] = True
         self.used[: self.units.n] += some
@@ -327,6 +362,7 @@ class Known:
         for r in (self.units, *self.payloads):
             r.keep(stay)
         self.hash[: len(stay)], self.used[: len(stay)] = self.hash[stay], self.used[stay] // 2
+        self.edges[:, : len(stay)] = self.edges[:, stay]
         self._clear()
         self._insert(np.arange(len(stay)))
 

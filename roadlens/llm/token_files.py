@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import Known, Ragged, span_hashes, spread, text_buffers
+from roadlens.llm.common import Known, Ragged, chunk_hashes, edge_words, spread, text_buffers
 
 SHARD = 1 << 19
 LEAST = 16  # occurrences from which a pair is frequent and gets a rule
@@ -135,7 +135,8 @@ class Encoder:
         raw = data.tobytes()
         s = chunk_starts(data, off)
         e = np.r_[s[1:], len(data)]
-        rows = self.chunks.rows(span_hashes(data, s, e), data, s, e, lambda new: self._learn([raw[x:y] for x, y in zip(s[new].tolist(), e[new].tolist())]))
+        edges = edge_words(data, s, e)
+        rows = self.chunks.rows(chunk_hashes(data, s, e, edges), data, s, e, lambda new: self._learn([raw[x:y] for x, y in zip(s[new].tolist(), e[new].tolist())]), edges)
         if rows is None:  # more distinct chunks than are kept
             return [x for d in range(len(off) - 1) for x in self._library([raw[off[d] : off[d + 1]].decode()])]
         ids, size = self.ids.take(rows)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from roadlens.llm import packing, pieces, token_files
-from roadlens.llm.common import Known, Ragged, spread, text_buffers, word_hashes
+from roadlens.llm.common import Known, Ragged, chunk_hashes, edge_words, spread, text_buffers, word_hashes
 
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a \n b", "\n \n", "x\t y", "it's  'll <|endoftext|> x", "日本 語 𝕏 \u0000", "\u0000 \u0000x", "▁a ▁▁ b", "▁", "a" * 500 + " " + "ab" * 300, "!" * 1000, "\u3000 a", "a \u3000b", "éé ö\r\n  z", "<s> </s> <0x41>", "   ", "thisisaverylongwordwithoutspaces" * 40]
 BYTE, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -260,3 +260,17 @@ def test_packing_is_whole(spark):
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= cap
     assert len({r.bin.split("-")[0] for r in out}) > 1
     assert packing.best_fit(packing.byte_lengths(df.limit(0))).count() == 0
+
+
+def test_known_chunks_by_edge_words():
+    """Chunks of any size are told apart, though edge words or hashes agree."""
+    words = [b"a", b"a\0", b"\0", b"\0\0", b"12345678", b"12345678\0", b"1234567812345678", b"12345678x12345678", b"12345678y12345678", b"12345678" * 9, b"12345678" * 10, b"abcdefgh" + b"xy" * 600 + b"abcdefgh", b"abcdefgh" + b"yx" * 600 + b"abcdefgh"]
+    some = [words[i] for i in np.random.default_rng(3).integers(0, len(words), 400)] + words
+    data = np.frombuffer(b"".join(some), np.uint8)
+    e = np.cumsum([len(w) for w in some])
+    s = e - [len(w) for w in some]
+    edges = edge_words(data, s, e)
+    for h in (chunk_hashes(data, s, e, edges), np.zeros(len(some), np.uint64)):
+        known = Known(64, np.uint8, [])
+        rows = known.rows(h, data, s, e, lambda new: None, edges)
+        assert len({(r, w) for r, w in zip(rows.tolist(), some)}) == len(set(rows.tolist())) == len(words)
