@@ -8,8 +8,10 @@ bit at a time, until the intervals of that prefix length hold `share` of the sha
 candidates are ranked by exact Euclidean distance of the original vectors in double precision;
 rows of equal strings are always taken together, so no number of copies is cut off.
 
-Every query visits every shard, in blocks: one stated set of queries against all rows. Of a shard
-only each query's k nearest go on, and per-task limits precede the final ranking.
+Every query visits every shard, in blocks: one stated set of queries against all rows. A unit of work
+is one shard and about GROUP blocks, dealt by its number: however many queries there are, no unit
+grows, and a shard is shipped and hashed once for all blocks of a unit. Of a unit only each query's
+k nearest go on, and per-task limits precede the final ranking.
 
 `share` sets recall: random directions of 64 dimensions have no near neighbours to speak of and need
 about a third of the rows as candidates for a recall over 0.9; data with clusters need far less.
@@ -31,6 +33,7 @@ from roadlens.llm.vectors import matrix, usable
 
 SHARD = 8192
 BLOCK = 512
+GROUP = 16  # blocks of queries in a unit
 TREES = 64
 BITS = 32
 SHARE = 0.42
@@ -127,31 +130,44 @@ class PrefixForest:
 
 
 def _search(k: int, share: float):
-    """Rows (ids, e, query ids, query vectors) to each query's k nearest of the shard's candidates."""
+    """Rows (unit, side, ids, e), by unit a shard (side 0) and then blocks of queries (side 1), to each
+    query's k nearest of the shard's candidates."""
 
     def run(batches):
+        unit, ids, shard, forest = None, None, None, None
         for batch in batches:
-            forest, last = None, None
             for r in range(batch.num_rows):
-                raw, xs, qraw, qs = (batch.column(c)[r].as_py() for c in range(4))
-                ids, qid = np.frombuffer(raw, "<i8"), np.frombuffer(qraw, "<i8")
-                if raw != last:
-                    forest, last = PrefixForest(np.frombuffer(xs, "<f8").reshape(len(ids), -1)), raw
-                queries = np.frombuffer(qs, "<f8").reshape(len(qid), -1)
+                own, side = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                some_ids = np.frombuffer(batch.column(2)[r].as_py(), "<i8")
+                vectors = np.frombuffer(batch.column(3)[r].as_py(), "<f8").reshape(len(some_ids), -1)
+                if side == 0:
+                    unit, ids, shard, forest = own, some_ids, vectors, None
+                    continue
+                if own != unit:  # a shard without rows
+                    continue
+                forest = forest or PrefixForest(shard)
                 found = [[], [], []]
-                for q, some in enumerate(forest.candidates(queries, share)):
-                    some = some[ids[some] != qid[q]]
-                    d = np.sqrt(((forest.x[some] - queries[q]) ** 2).sum(axis=1))
+                for q, some in enumerate(forest.candidates(vectors, share)):
+                    some = some[ids[some] != some_ids[q]]
+                    d = np.sqrt(((shard[some] - vectors[q]) ** 2).sum(axis=1))
                     best = np.lexsort((ids[some], d))[:k]
-                    found[0].append(np.full(len(best), qid[q]))
+                    found[0].append(np.full(len(best), some_ids[q]))
                     found[1].append(ids[some][best])
                     found[2].append(d[best])
-                cols = [np.concatenate(f) if f else np.zeros(0) for f in found]
+                cols = [np.concatenate(f) for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     return run
 
 
+def _units(packed: DataFrame, side: int, many: int, groups: int) -> DataFrame:
+    """Shards in each of their units (side 0), or blocks in the unit of each shard (side 1)."""
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((groups if side == 0 else many) - 1).cast("long")))
+    met = packed.withColumn("other", each)
+    unit = F.col("key") * groups + F.col("other") if side == 0 else F.col("other") * groups + F.pmod("key", F.lit(groups).cast("long"))
+    return met.select(unit.alias("unit"), F.lit(side).alias("side"), "ids", "e")
+
+
 def nearest(base: DataFrame, queries: DataFrame, k: int = 10, share: float = SHARE, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of base(vec_id, embedding) found for each
     row of queries(vec_id, embedding), by Euclidean distance."""
@@ -164,10 +180,11 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, share: float = SHA
     dim, n = dims if dims is not None else (0, 0)
     asked = asked.where(F.size("e") == dim).groupBy("vec_id").agg(F.min("e").alias("e"))
     shards = _blocks(rows.where(F.size("e") == dim), shard, n)
-    blocks = _blocks(asked, BLOCK, max(1, n // 100))
-    many = max(1, -(-n // shard))
-    spread = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("key"), F.col("ids").alias("q_ids"), F.col("e").alias("q_e"))
-    met = shards.join(spread, "key").select("ids", "e", "q_ids", "q_e")
+    n_asked = asked.count()
+    blocks = _blocks(asked, BLOCK, n_asked)
+    many, groups = max(1, -(-n // shard)), max(1, -(-n_asked // (BLOCK * GROUP)))
+    met = _units(shards, 0, many, groups).union(_units(blocks, 1, many, groups))
+    met = met.repartition("unit").sortWithinPartitions("unit", "side")
     found = met.mapInArrow(_search(k, share), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -91,9 +91,11 @@ def test_clusters_prune_tiles(spark):
     assert {r.n_links for r in got} == {99} and {r.component_id for r in got} == {100 * k for k in range(8)}
 
 
-@pytest.mark.parametrize("shard", [8192, 200])
-def test_neighbours(spark, shard, monkeypatch):
+@pytest.mark.parametrize("shard, block", [(8192, 512), (200, 512), (200, 4)])
+def test_neighbours(spark, shard, block, monkeypatch):
     monkeypatch.setattr(neighbours, "FEWEST", 64)
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "GROUP", 2)
     x = data(1500, 24, 7)
     df = spark.createDataFrame(odd(x), SCHEMA)
     out = neighbours.nearest(df, df.where(F.col("vec_id") % 50 == 0), 10, shard=shard).collect()
