@@ -56,29 +56,54 @@ def _tick(v) -> str:
     return DASH if v is None else "✓" if v else "✗"
 
 
-def report(root: str, videos: DataFrame, logs: DataFrame, n_files: int, official: bool = False) -> str:
-    """The summary as text, in either layout. Collects one row per metric and per file."""
+def _metric_lines(frame: DataFrame, labels: dict[str, str], logs: bool) -> list[str]:
+    """A line per metric; of logs, those without values too, with how many files passed, and then
+    what only passes or fails."""
+    got = {r.metric: r for r in aggregate(frame, list(labels)).collect()}  # a row per metric
+    flags = [flag for flag, _ in T.LOG_PASS_OF.values()] + list(T.LOG_PASS_ONLY)
+    passed = {r.flag: r for r in pass_counts(frame, flags).collect()} if logs else {}
+
+    def line(label, a, flag, limit):
+        n = "" if a is None else a.n
+        values = [None] * 3 if a is None else [a.mean, a["min"], a["max"]]
+        p = passed.get(flag)
+        verdict = f"{p.mark} {p.passed}/{p.judged}" if p else ""
+        numbers = "  ".join(f"{_number(v):>7}" for v in values)
+        return f"  {label:<36}  {numbers}  {n:>4}   {verdict:<7}  {limit}".rstrip()
+
+    if not logs:
+        return [line(label, got[k], "", "") for k, label in labels.items() if k in got]
+    lines = [line(label, got.get(k), *T.LOG_PASS_OF.get(k, ("", ""))) for k, label in labels.items()]
+    return lines + [line(label, None, flag, limit) for flag, (label, limit) in T.LOG_PASS_ONLY.items() if flag in passed]
+
+
+def _file_lines(frame: DataFrame, flags: Column, columns: dict[str, str], ticks: dict[str, str], two_digits: bool):
+    """A line per file, in order of path, fetched a partition at a time."""
+    yield f"  {'File':<40}  " + "  ".join(f"{c:>7}" for c in [*columns.values(), *ticks.values()]) + "  Flags"
+    for r in frame.withColumns({"flags": flags, "short": clip("path")}).orderBy("path").toLocalIterator():
+        cells = [f"{r[k]:.2f}" if k == "dup" and two_digits and r[k] is not None else _number(r[k]) for k in columns]
+        yield f"  {r.short:<40}  " + "  ".join(f"{c:>7}" for c in [*cells, *(_tick(r[k]) for k in ticks)]) + f"  {r.flags}"
+
+
+def report_lines(root: str, videos: DataFrame, logs: DataFrame, n_files: int, official: bool = False):
+    """The lines of the summary, in either layout; those of files come from the cluster as they are read."""
     v_labels, l_labels, flags = (T.OFFICIAL_VIDEO_LABELS, T.OFFICIAL_LOG_LABELS, T.OFFICIAL_FLAGS) if official else (T.VIDEO_LABELS, T.LOG_LABELS, T.LOG_FLAGS)
-    v_rows = videos.withColumns({"flags": video_flags(), "short": clip("path")}).orderBy("path").collect()
-    l_rows = logs.withColumns({"flags": log_flags(flags), "short": clip("path")}).orderBy("path").collect()
-    lines = [f"Dataset summary: {root}", f"Files: {n_files} (video {len(v_rows)}, log {len(l_rows)})"]
-    for title, rows, labels, frame in (("Video", v_rows, v_labels, videos), ("Trajectory logs", l_rows, l_labels, logs)):
-        if not rows:
-            continue
-        got = {r.metric: r for r in aggregate(frame, list(labels)).collect()}
-        passed = {r.flag: r for r in pass_counts(frame, [p for p, _ in T.LOG_PASS_OF.values()]).collect()} if rows is l_rows else {}
-        lines += ["", title, f"  {'Metric':<36}  {'mean %':>7}  {'min %':>7}  {'max %':>7}  {'n':>4}"]
-        for k, label in labels.items():
-            a = got.get(k)
-            if a is None:
-                continue
-            line = f"  {label:<36}  {_number(a.mean):>7}  {_number(a['min']):>7}  {_number(a['max']):>7}  {a.n:>4}"
-            flag, limit = T.LOG_PASS_OF.get(k, ("", "")) if passed else ("", "")
-            p = passed.get(flag)
-            lines.append(line + (f"   {p.mark} {p.passed}/{p.judged}  {limit}" if p else ""))
-        lines += ["", f"  {'File':<40}  " + "  ".join(f"{k:>8}" for k in labels) + "  flags"]
-        lines += [f"  {r.short:<40}  " + "  ".join(f"{_number(r[k]):>8}" for k in labels) + f"  {r.flags}" for r in rows]
-    return "\n".join(lines)
+    n_videos, n_logs = videos.count(), logs.count()
+    yield f"Dataset summary: {root}"
+    yield f"Scanned: {datetime.date.today()}  Files: {n_files} (video {n_videos}, log {n_logs})"
+    head = f"  {'Metric':<36}  {'mean %':>7}  {'min %':>7}  {'max %':>7}  {'n':>4}"
+    if n_videos:
+        yield from ("", f"Video ({n_videos} files)", head, *_metric_lines(videos, v_labels, False), "")
+        columns = {k: T.VIDEO_COLUMNS[k] for k in v_labels}
+        yield from _file_lines(videos, video_flags(), columns, {}, official)
+    if n_logs:
+        yield from ("", f"Trajectory logs ({n_logs} files)", head + f"   {'Passed':<7}  Threshold", *_metric_lines(logs, l_labels, True), "")
+        yield from _file_lines(logs, log_flags(flags), T.LOG_COLUMNS, T.OFFICIAL_TICKS if official else {}, True)
+
+
+def report(root: str, videos: DataFrame, logs: DataFrame, n_files: int, official: bool = False) -> str:
+    """The summary as one text."""
+    return "\n".join(report_lines(root, videos, logs, n_files, official))
 
 
 def document(root: str, videos: DataFrame, logs: DataFrame, n_files: int) -> str:

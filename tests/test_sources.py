@@ -10,6 +10,7 @@ import zipfile
 
 import pytest
 
+from roadlens.operators import summary
 from roadlens.plans import reports
 from roadlens.sources import documents, mcap
 
@@ -208,9 +209,27 @@ def test_metric_documents(spark, tmp_path):
     for official in (False, True):
         said, doc = reports.dataset_report(spark, str(tmp_path), official=official)
         assert "Rec↓" in said and "✗ 0/2" in said
+        lines = [line.split() for line in said.splitlines()]
+        assert ["Attribute", "Completeness", "—", "—", "—", "=100%"] in lines  # a metric without values
+        assert ("FilM" in said) is official and "File Metadata" not in said
+        own = next(line for line in lines if line and line[0] == "sub/o.json")
+        assert own[1:] == ["—", "90.0", "—", "—", "—", *(["✓", "—", "✗", "—"] if official else []), *(["Rec↓,", "Traj↓"] if official else ["Rec↓"])]
+        assert [line[1:] for line in lines if line and line[0] == "v.json"] == [["99.0", "97.50", "—", "91.0", "—", "—", "TDS↓,", "Dup↓"] if official else ["91.0", "99.0", "97.5", "—", "—", "—", "TDS↓,", "Dup↓"]]
         assert json.loads(doc)["aggregated"]["video"]["dup"]["n"] == 2 and len(json.loads(doc)["rows"]) == 4
 
 
+def test_summary_lines(spark):
+    keys = ["attr", "rec", "fmt", "dup", "tcomp", "cls_pct", "traj_pct"]
+    flags = ["attr_ok", "rec_ok", "fmt_ok", "dup_ok", "tcomp_ok", "cls", "obj_cov", "traj", "fmeta"]
+    schema = "path string, " + ", ".join([f"{k} double" for k in keys] + [f"{k} boolean" for k in flags])
+    rows = [("a", *[50.0] * 7, *[True] * 8, f) for f in (True, False)]
+    logs = spark.createDataFrame(rows, schema)
+    videos = spark.createDataFrame([], "path string, tds double, tcomp double, dup double, sci double, blk double, fov double")
+    said = summary.report("r", videos, logs, 2)
+    assert "File Metadata [custom]" in said and "~ 1/2" in said and "Video (" not in said
+    assert "Trajectory logs" not in summary.report("r", videos, logs.limit(0), 0)
+
+
 def test_subtitles_streams_specs(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00 --> 00:01\n2025-10-16 07:10:00.500 x\n\n2025-13-99 00:00:00\n2025-10-16 07:40:00\n")
     r = documents.subtitle_spans(spark, str(tmp_path / "a.srt")).first()
