@@ -80,6 +80,6 @@ LOG_PASS_OF = {
 }
 # fixed values: lines of the log table that only pass or fail, and the columns of its rows by file
 LOG_PASS_ONLY = {"fmeta": ("File Metadata [custom]", "—")}
-LOG_COLUMNS = {"attr": "Attr%", "rec": "Rec%", "fmt": "Fmt%", "dup": "Dup%", "tcomp": "TComp%"}
+LOG_FILE_COLUMNS = {"attr": "Attr%", "rec": "Rec%", "fmt": "Fmt%", "dup": "Dup%", "tcomp": "TComp%"}
 OFFICIAL_TICKS = {"cls": "Cls", "obj_cov": "ObjCov", "traj": "Traj", "fmeta": "FilM"}
-VIDEO_COLUMNS = {"tds": "TDS%", "tcomp": "TComp%", "dup": "Uniq%", "sci": "SCI%", "blk": "Blk%", "fov": "FOV%"}
+VIDEO_FILE_COLUMNS = {"tds": "TDS%", "tcomp": "TComp%", "dup": "Uniq%", "sci": "SCI%", "blk": "Blk%", "fov": "FOV%"}

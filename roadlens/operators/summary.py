@@ -94,11 +94,11 @@ def report_lines(root: str, videos: DataFrame, logs: DataFrame, n_files: int, of
     head = f"  {'Metric':<36}  {'mean %':>7}  {'min %':>7}  {'max %':>7}  {'n':>4}"
     if n_videos:
         yield from ("", f"Video ({n_videos} files)", head, *_metric_lines(videos, v_labels, False), "")
-        columns = {k: T.VIDEO_COLUMNS[k] for k in v_labels}
+        columns = {k: T.VIDEO_FILE_COLUMNS[k] for k in v_labels}
         yield from _file_lines(videos, video_flags(), columns, {}, official)
     if n_logs:
         yield from ("", f"Trajectory logs ({n_logs} files)", head + f"   {'Passed':<7}  Threshold", *_metric_lines(logs, l_labels, True), "")
-        yield from _file_lines(logs, log_flags(flags), T.LOG_COLUMNS, T.OFFICIAL_TICKS if official else {}, True)
+        yield from _file_lines(logs, log_flags(flags), T.LOG_FILE_COLUMNS, T.OFFICIAL_TICKS if official else {}, True)
 
 
 def report(root: str, videos: DataFrame, logs: DataFrame, n_files: int, official: bool = False) -> str:
