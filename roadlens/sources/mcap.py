@@ -2,18 +2,26 @@
 
 Records are read by the public MCAP layout; protobuf messages are decoded with the descriptors that
 the file itself carries, so no generated code is needed. Option `table` picks samples (default),
-header, lights or map; each file is one partition, and header and map stop at their first message."""
+header, lights or map; header and map stop at their first message.
+
+A log is read a chunk at a time, so memory holds one chunk. Logs over SPLIT bytes are dealt by runs of
+chunks to several tasks, where their summary lists all chunks and messages; msg_seq goes on from the
+messages of the chunks before. Other logs are one task each."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAGIC = b"\x89MCAP0\r\n"
 TRACKS, MAP = "ground_truth", "ground_truth_map"
+SPLIT = 128 << 20  # bytes of a log, and of the chunks of a task once unpacked
+BATCH = 8192  # rows
 _XYZ = ", ".join(f"{p}{a} double" for p in ("", "vel_", "acc_") for a in "xyz")
 SCHEMAS = {
     "samples": f"file string, msg_seq long, obj_seq int, total_nanos long, idx long, {_XYZ}, length double, width double, height double, roll double, pitch double, yaw double, type int, subtype int, role int, offset_x double, offset_y double, offset_yaw double",
@@ -47,33 +55,92 @@ def _chunk(body: bytes) -> bytes:
     return pa.Codec({"lz4": "lz4", "zstd": "zstd"}[kind]).decompress(data, decompressed_size=size).to_pybytes()
 
 
-def messages(raw: bytes) -> Iterator[tuple[str, str, bytes, bytes]]:
-    """(topic, message type, descriptor set, payload) of every message in file order."""
-    if raw[:8] != MAGIC:
-        raise ValueError("not an MCAP file")
-    schemas: dict[int, tuple[str, bytes]] = {}
-    channels: dict[int, tuple[int, str]] = {}
-
-    def walk(b, at, end):
-        for op, body in _records(b, at, end):
-            if op == 0x03:
-                name, k = _string(body, 2)
-                _, k = _string(body, k)
-                (n,) = struct.unpack_from("<I", body, k)
-                schemas[struct.unpack_from("<H", body)[0]] = (name, body[k + 4 : k + 4 + n])
-            elif op == 0x04:
-                topic, _ = _string(body, 4)
-                channels[struct.unpack_from("<H", body)[0]] = (struct.unpack_from("<H", body, 2)[0], topic)
-            elif op == 0x05:
-                schema, topic = channels[struct.unpack_from("<H", body)[0]]
-                yield topic, *schemas.get(schema, ("", b"")), body[22:]
+class Channels:
+    """The schemas and channels that records tell of."""
+
+    def __init__(self):
+        self.schemas: dict[int, tuple[str, bytes]] = {}
+        self.topics: dict[int, tuple[int, str]] = {}
+
+    def learn(self, op: int, body: bytes) -> None:
+        if op == 0x03:
+            name, k = _string(body, 2)
+            _, k = _string(body, k)
+            (n,) = struct.unpack_from("<I", body, k)
+            self.schemas[struct.unpack_from("<H", body)[0]] = (name, body[k + 4 : k + 4 + n])
+        elif op == 0x04:
+            topic, _ = _string(body, 4)
+            self.topics[struct.unpack_from("<H", body)[0]] = (struct.unpack_from("<H", body, 2)[0], topic)
+
+    def messages(self, records: Iterator[tuple[int, bytes]]) -> Iterator[tuple[str, str, bytes, bytes]]:
+        """(topic, message type, descriptor set, payload) of every message in order."""
+        for op, body in records:
+            if op == 0x05:
+                schema, topic = self.topics[struct.unpack_from("<H", body)[0]]
+                yield topic, *self.schemas.get(schema, ("", b"")), body[22:]
             elif op == 0x06:
                 data = _chunk(body)
-                yield from walk(data, 0, len(data))
+                yield from self.messages(_records(data, 0, len(data)))
             elif op in (0x02, 0x0F):
                 return
+            else:
+                self.learn(op, body)
 
-    yield from walk(raw, 8, len(raw))
+
+def _streamed(f) -> Iterator[tuple[int, bytes]]:
+    """The records of a log from its beginning, one at a time; bodies nobody reads come empty."""
+    if f.read(8) != MAGIC:
+        raise ValueError("not an MCAP file")
+    while len(head := f.read(9)) == 9:
+        op, n = head[0], struct.unpack_from("<Q", head, 1)[0]
+        if op in (0x03, 0x04, 0x05, 0x06):
+            yield op, f.read(n)
+        else:
+            yield op, b""
+            while n > 0 and (got := len(f.read(min(n, 1 << 20)))):
+                n -= got
+
+
+@dataclass
+class Chunk:
+    at: int
+    size: int
+    unpacked: int
+    index: int  # bytes of message indexes behind it
+    channels: set[int]
+
+
+def _summary(f, size: int) -> tuple[Channels, list[Chunk], dict[int, int]] | None:
+    """The channels, chunks in file order and message counts by channel that the summary of a log tells."""
+    if size < 45:
+        return None
+    f.seek(size - 37)
+    foot = f.read(37)
+    start = struct.unpack_from("<Q", foot, 9)[0]
+    if foot[0] != 0x02 or foot[29:] != MAGIC or not 0 < start < size:
+        return None
+    f.seek(start)
+    channels, chunks, counts = Channels(), [], {}
+    raw = f.read(size - 37 - start)
+    for op, body in _records(raw, 0, len(raw)):
+        if op == 0x08:
+            at, length, n = struct.unpack_from("<QQI", body, 16)
+            (index,) = struct.unpack_from("<Q", body, 36 + n)
+            _, k = _string(body, 44 + n)
+            chunks.append(Chunk(at, length, struct.unpack_from("<Q", body, k + 8)[0], index, {c for c, _ in struct.iter_unpack("<HQ", body[36 : 36 + n])}))
+        elif op == 0x0B:
+            (n,) = struct.unpack_from("<I", body, 42)
+            counts = dict(struct.iter_unpack("<HQ", body[46 : 46 + n]))
+        else:
+            channels.learn(op, body)
+    return channels, sorted(chunks, key=lambda c: c.at), counts
+
+
+def _counted(f, chunk: Chunk, wanted: set[int]) -> int:
+    """How many messages of the wanted channels a chunk has, by its indexes."""
+    f.seek(chunk.at + chunk.size)
+    raw = f.read(chunk.index)
+    return sum(struct.unpack_from("<I", body, 2)[0] // 16 for op, body in _records(raw, 0, len(raw)) if op == 0x07 and struct.unpack_from("<H", body)[0] in wanted)
 
 
 class Decoder:
@@ -172,33 +239,79 @@ def files_of(paths: str) -> list[str]:
     return out
 
 
+class _Part(InputPartition):
+    """A whole log, or the chunks of one that lie at (offset, size); seq: messages before them."""
+
+    def __init__(self, file: str, chunks: list[tuple[int, int]] | None = None, seq: int = 0):
+        super().__init__(file)
+        self.file, self.chunks, self.seq = file, chunks, seq
+
+
+def _parts(file: str, table: str) -> list[_Part]:
+    """The tasks of a log: several for a large one whose summary accounts for every message."""
+    fs, path = _located(file)
+    size = fs.get_file_info(path).size
+    if table not in ("samples", "lights") or size is None or size <= SPLIT:
+        return [_Part(file)]
+    with fs.open_input_file(path) as f:
+        channels, chunks, counts = _summary(f, size) or (Channels(), [], {})
+        wanted = {c for c, (_, topic) in channels.topics.items() if topic == TRACKS}
+        chunks = [c for c in chunks if c.channels & wanted]
+        held = [_counted(f, c, wanted) for c in chunks]
+    if not chunks or sum(held) != sum(counts.get(c, 0) for c in wanted):
+        return [_Part(file)]
+    out, group, weight, seq, first = [], [], 0, 0, 0
+    for c, n in zip(chunks, held):
+        if group and weight + c.unpacked > SPLIT:
+            out.append(_Part(file, group, first))
+            group, weight, first = [], 0, seq
+        group, weight, seq = [*group, (c.at, c.size)], weight + c.unpacked, seq + n
+    return [*out, _Part(file, group, first)]
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, files: list[str], table: str):
-        self.files, self.table = files, table
+    def __init__(self, files: list[str], table: str, schema):
+        self.files, self.table, self.columns = files, table, schema
 
     def partitions(self):
-        return [InputPartition(f) for f in self.files]
+        from concurrent.futures import ThreadPoolExecutor
 
-    def read(self, partition):
-        file = partition.value
+        with ThreadPoolExecutor(32) as pool:
+            return [p for parts in pool.map(lambda f: _parts(f, self.table), self.files) for p in parts]
+
+    def _rows(self, partition):
+        file, seq, decode = partition.file, partition.seq, Decoder()
         fs, path = _located(file)
-        with fs.open_input_stream(path) as f:
-            raw = f.read()
-        decode, seq = Decoder(), 0
-        for topic, name, descriptors, payload in messages(raw):
-            if topic != (MAP if self.table == "map" else TRACKS):
-                continue
-            m = decode(name, descriptors, payload)
-            if self.table == "header":
-                yield _header(file, m)
-                return
-            if self.table == "map":
-                if xml := _path(m, "open_drive_xml_content") or _path(m, "map_reference"):
-                    yield file, xml
+        if partition.chunks is None:
+            f = fs.open_input_stream(path, buffer_size=1 << 20)
+            channels, records = Channels(), _streamed(f)
+        else:
+            f = fs.open_input_file(path)
+            channels = _summary(f, f.size())[0]
+            records = (r for at, size in partition.chunks for r in _records(f.read_at(size, at), 0, size))
+        with f:
+            for topic, name, descriptors, payload in channels.messages(records):
+                if topic != (MAP if self.table == "map" else TRACKS):
+                    continue
+                m = decode(name, descriptors, payload)
+                if self.table == "header":
+                    yield _header(file, m)
                     return
-            else:
-                yield from (_samples if self.table == "samples" else _lights)(file, seq, m)
-            seq += 1
+                if self.table == "map":
+                    if xml := _path(m, "open_drive_xml_content") or _path(m, "map_reference"):
+                        yield file, xml
+                        return
+                else:
+                    yield from (_samples if self.table == "samples" else _lights)(file, seq, m)
+                seq += 1
+
+    def read(self, partition):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, rows = to_arrow_schema(self.columns), self._rows(partition)
+        while some := list(islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
 
 class TrajectoryLog(DataSource):
@@ -218,7 +331,7 @@ class TrajectoryLog(DataSource):
         return SCHEMAS[self._table()]
 
     def reader(self, schema):
-        return _Reader(files_of(self.options["path"]), self._table())
+        return _Reader(files_of(self.options["path"]), self._table(), schema)
 
 
 def register(spark: SparkSession) -> None:

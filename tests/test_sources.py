@@ -61,14 +61,15 @@ def text(s):
     return struct.pack("<I", len(s)) + s.encode()
 
 
-def write_log(path, codec, xml):
+def write_log(path, codec, xml, chunks=1, indexed=False, counted=40):
+    """A log of 40 messages and a map in so many chunks, with a summary of them if indexed."""
     import pyarrow as pa
 
     schema, make = proto()
     truth, mapped = make("Truth"), make("Map")
     setup = b"".join(record(3, struct.pack("<H", k) + text(f"t.{n}") + text("protobuf") + struct.pack("<I", len(schema)) + schema) for k, n in ((1, "Truth"), (2, "Map")))
     setup += b"".join(record(4, struct.pack("<HH", k, k) + text(topic) + text("protobuf") + struct.pack("<I", 0)) for k, topic in ((1, "ground_truth"), (2, "ground_truth_map")))
-    body = b""
+    bodies = []
     for k in range(40):
         m = truth()
         m.timestamp.seconds, m.timestamp.nanos = 100 + k // 10, k % 10 * 100_000_000
@@ -82,11 +83,48 @@ def write_log(path, codec, xml):
             o.vehicle_classification.type, o.vehicle_classification.role = 4 if i == 1 else 12, 2
         m.traffic_light.add().classification.color = 2 + k % 2
         data = m.SerializeToString()
-        body += record(5, struct.pack("<HIQQ", 1, k, 0, 0) + data)
-    body += record(5, struct.pack("<HIQQ", 2, 0, 0, 0) + mapped(open_drive_xml_content=xml).SerializeToString())
-    packed = body if not codec else pa.Codec(codec).compress(body, asbytes=True)
-    chunk = record(6, struct.pack("<QQQI", 0, 0, len(body), 0) + text(codec) + struct.pack("<Q", len(packed)) + packed)
-    path.write_bytes(mcap.MAGIC + record(1, text("") + text("")) + setup + chunk + record(0x0F, b"\0" * 4) + mcap.MAGIC)
+        bodies.append((1, record(5, struct.pack("<HIQQ", 1, k, 0, 0) + data)))
+    bodies.append((2, record(5, struct.pack("<HIQQ", 2, 0, 0, 0) + mapped(open_drive_xml_content=xml).SerializeToString())))
+    out, summary_part, per = mcap.MAGIC + record(1, text("") + text("")) + setup, b"", -(-41 // chunks)
+    for x in range(0, 41, per):
+        some = bodies[x : x + per]
+        body = b"".join(b for _, b in some)
+        packed = body if not codec else pa.Codec(codec).compress(body, asbytes=True)
+        at, chunk = len(out), record(6, struct.pack("<QQQI", 0, 0, len(body), 0) + text(codec) + struct.pack("<Q", len(packed)) + packed)
+        own = sorted({c for c, _ in some})
+        index = b"".join(record(7, struct.pack("<HI", c, 16 * n) + b"\0" * 16 * n) for c in own for n in [sum(o == c for o, _ in some)])
+        places = b"".join(struct.pack("<HQ", c, 0) for c in own)
+        summary_part += record(8, struct.pack("<QQQQI", 0, 0, at, len(chunk), len(places)) + places + struct.pack("<Q", len(index)) + text(codec) + struct.pack("<QQ", len(packed), len(body)))
+        out += chunk + index * indexed
+    out += record(0x0F, b"\0" * 4)
+    start = len(out) if indexed else 0
+    if indexed:
+        totals = struct.pack("<HQHQ", 1, counted, 2, 1)
+        out += setup + record(0x0B, struct.pack("<QHIIIIQQ", counted + 1, 2, 2, 0, 0, chunks, 0, 0) + struct.pack("<I", len(totals)) + totals) + summary_part
+    path.write_bytes(out + record(2, struct.pack("<QQI", start, 0, 0)) + mcap.MAGIC)
+
+
+@pytest.mark.parametrize("codec", ["", "lz4", "zstd"])
+def test_large_logs_are_dealt_by_chunks(spark, tmp_path, monkeypatch, codec):
+    """Tasks of runs of chunks give the rows of one task; a summary that misses messages isn't trusted."""
+    from pyspark.sql.types import StructType
+
+    for name, options in {"plain": {"chunks": 7}, "indexed": {"chunks": 7, "indexed": True}, "short": {"chunks": 7, "indexed": True, "counted": 41}}.items():
+        write_log(tmp_path / f"{name}.mcap", codec, XML, **options)
+
+    def rows(name, table, split):
+        monkeypatch.setattr(mcap, "SPLIT", split)
+        reader = mcap._Reader([str(tmp_path / f"{name}.mcap")], table, StructType.fromDDL(mcap.SCHEMAS[table]))
+        parts = reader.partitions()
+        return len(parts), [{**r, "file": ""} for p in parts for b in reader.read(p) for r in b.to_pylist()]
+
+    for table, n in (("samples", 80), ("lights", 40), ("header", 1), ("map", 1)):
+        tasks, want = rows("plain", table, 1 << 20)
+        assert tasks == 1 and len(want) == n
+        assert rows("plain", table, 1) == (1, want) and rows("short", table, 1) == (1, want)
+        assert rows("indexed", table, 1) == (7 if n > 1 else 1, want)
+        tasks, got = rows("indexed", table, 4000)
+        assert got == want and (n == 1 or 1 < tasks < 7)
 
 
 XML = """<?xml version='1.0'?><OpenDRIVE xmlns="http://x"><header><offset x="10" y="0" z="0" hdg="0"/></header>
