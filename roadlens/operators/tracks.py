@@ -135,21 +135,24 @@ def _per_track(samples: DataFrame, expected_hz: float | None) -> DataFrame:
             raise ValueError("expected_hz must be positive")
         step = steps.select("file").distinct().withColumn("dt", F.lit(1e9 / expected_hz))
     else:
-        alone = steps.groupBy("file", "total_nanos").agg(F.max("diff").alias("diff"))
+        within = steps.groupBy("file").agg(F.median("diff").alias("dt"))
+        # only files without a step in any track need the median over all their times
+        alone = steps.join(within.where("dt is null"), "file", "left_semi").select("file", "total_nanos").distinct()
         w = Window.partitionBy("file").orderBy("total_nanos")
-        overall = alone.withColumn("gap", F.col("total_nanos") - F.lag("total_nanos").over(w)).groupBy("file").agg(F.median("gap").alias("overall"))
-        step = steps.groupBy("file").agg(F.median("diff").alias("within")).join(overall, "file").select("file", F.coalesce("within", "overall").alias("dt"))
+        overall = alone.withColumn("step", F.col("total_nanos") - F.lag("total_nanos").over(w)).groupBy("file").agg(F.median("step").alias("overall"))
+        step = within.join(overall, "file", "left").select("file", F.coalesce("dt", "overall").alias("dt"))
     steps = steps.join(step, "file")
     gap = F.col("diff") > 1.5 * F.col("dt")
     lost = F.rint(F.col("diff") / F.col("dt") - 1)
-    found = F.when(gap, F.struct((F.col("total_nanos") - F.col("diff")).alias("at_nanos"), F.col("diff").alias("gap_ns"), lost.cast("long").alias("missing_frames")))
+    steps = steps.withColumn("nth", F.count_if(gap).over(Window.partitionBy("file", "idx").orderBy("total_nanos")))
+    found = F.when(gap & (F.col("nth") <= 5), F.struct((F.col("total_nanos") - F.col("diff")).alias("at_nanos"), F.col("diff").alias("gap_ns"), lost.cast("long").alias("missing_frames")))
     return steps.groupBy("file", "idx").agg(
         F.first("dt").alias("dt"),
         F.count("*").alias("n_actual"),
         F.when(F.count("*") > 1, F.rint((F.max("total_nanos") - F.min("total_nanos")) / F.first("dt")).cast("long") + 1).otherwise(F.count("*")).alias("n_expected"),
         F.count_if(gap).alias("n_gaps"),
         F.coalesce(F.sum(F.when(gap, lost)), F.lit(0.0)).cast("long").alias("missing_frames"),
-        F.slice(F.array_sort(F.collect_list(found)), 1, 5).alias("gaps"),
+        F.array_sort(F.collect_list(found)).alias("gaps"),
     )
 
 
