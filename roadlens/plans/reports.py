@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens.functions import taxonomies as T
-from roadlens.functions.core import speed
+from roadlens.functions.core import angle, speed
 from roadlens.operators import kernels, spatial, summary, tracks, traffic, video
 from roadlens.sources import documents, mcap, opendrive
 
@@ -162,7 +162,7 @@ def traffic_metrics(samples: DataFrame, lanes: DataFrame, parking: DataFrame, of
     if series:
         out["series"] = {"area_occupancy": one(traffic.time_series(used, 5)), "density": one(traffic.time_series(per_km, 4))}
     if roundabout:
-        ring = on_road.where("role = 'ring'").withColumn("phi", F.atan2(F.col("y") - centre[1], F.col("x") - centre[0]))
+        ring = on_road.where("role = 'ring'").withColumn("phi", angle(F.col("y") - centre[1], F.col("x") - centre[0]))
         arms = on_road.where("role = 'approach'")
         ring_lanes = roles.where("role = 'ring'")
         ring_km = ring_lanes.agg(F.sum("length_m")).first()[0] / 1000

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlens.functions.core import angle
+
 TYPES = ["view", "click", "signup", "purchase", "error"]
 
 
@@ -54,7 +56,7 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.lit("events").alias("scene"), "frame", "id", "x", "y", F.lit(4.0).alias("length"), F.lit(2.0).alias("width"),
         (F.col("vel_x") - 10).alias("vx"), (F.col("vel_y") - 10).alias("vy"), group.alias("vclass"), road.alias("road"),
-        F.atan2(F.col("y") - 50, F.col("x") - 40).alias("phi"),
+        angle(F.col("y") - 50, F.col("x") - 40).alias("phi"),
     ).withColumn("speed", F.hypot("vx", "vy"))
 
 

@@ -63,6 +63,47 @@ def test_ring(spark):
         assert got["n"] in (2, 3) and got["w"] in (2, 3)
 
 
+# (x, y) before, (x, y) after: half turns about (40, 50) whose sign depends on the last bits of the angles
+HALF_TURNS = [
+    (48.4, 64, 36.4, 44), (44.3, 54, 1.3, 14), (90.8, 94, 27.3, 39), (53.16, 56, 26.84, 44), (51.97, 71, 23.47, 21), (45.76, 54, 34.24, 46),
+    (0.65, 70, 47.87, 46), (90.68, 71, 11.04, 38), (48.12, 53, 31.88, 47), (168.96, 89, 0.32, 38), (10.0, 50, 90.0, 50), (40.0, 10, 40.0, 90),
+]
+
+
+def test_angles_are_the_c_librarys(spark):
+    from roadlens.functions.core import angle
+
+    at = [(v - 40, k - 50.0) for x0, y0, x, y in HALF_TURNS for v, k in ((x0, y0), (x, y))] + [(math.nan, 1.0), (None, 1.0), (1.0, None)]
+    got = [r.a for r in spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "i int, x double, y double").select("i", angle(F.col("y"), F.col("x")).alias("a")).orderBy("i").collect()]
+    assert got[:-3] == [math.atan2(y, x) for x, y in at[:-3]]
+    assert math.isnan(got[-3]) and got[-2:] == [None, None]
+
+
+def test_half_turns_have_the_sign_of_a_floored_remainder(spark):
+    phi0, phi = 1.0303768265243125, -2.111215827065481
+    df = spark.createDataFrame([("s", 0, 1, phi0), ("s", 1, 1, phi)], "scene string, frame int, id long, phi double")
+    arms = spark.createDataFrame([("n", 1.5), ("e", 0.1)], "road string, theta double")
+    assert (phi - phi0 + math.pi) % (2 * math.pi) - math.pi == math.pi
+    assert traffic.circulating_direction(df).first().direction == 1
+    assert {r.road: r.crossings for r in traffic.circulating_flow(df, arms, 1.0).collect()} == {"n": 1, "e": 0}
+
+
+def test_circulating_flow_of_half_turns_matches_sql(spark, tmp_path):
+    import duckdb
+
+    from roadlens.plans import registry
+
+    rows = [(2 * u + f, f"2024-01-01 0{f}:30:00", u, "view", float(v), f'{{"k": {k}}}') for u, (x0, y0, x, y) in enumerate(HALF_TURNS) for f, v, k in ((0, x0, y0), (1, x, y))]
+    e = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string")
+    e.selectExpr("event_id", "cast(t as timestamp_ntz) ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("circulating_flow", "circulating_direction"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+        assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_edie_identities(spark):
     df = samples(spark, [("s", f, 1, float(f), 0.0, 10.0, 0.0) for f in range(10)]).withColumn("speed", F.col("vx"))
     r = traffic.edie_by(df, ["scene"], 20, 0.5).first()
