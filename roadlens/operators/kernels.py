@@ -1,10 +1,13 @@
 """Pixel kernels: one frame's image to one row of features, in NumPy on Arrow batches.
 
 Images are row-wise BGR bytes (the layout of Spark's image source). Borders reflect without repeating
-the edge pixel, as image libraries do by default. Everything after the feature row is built-ins."""
+the edge pixel, as image libraries do by default. Kernels up to histogram() take one image or a stack of
+images of one size, whose last two axes are y and x. Everything after the feature row is built-ins."""
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,13 +27,17 @@ def gray(bgr: np.ndarray) -> np.ndarray:
 
 
 def _around(g: np.ndarray, r: int) -> np.ndarray:
-    return np.pad(g, r, mode="reflect" if min(g.shape) > r else "symmetric")
+    return _padded(g, r, mode="reflect" if min(g.shape[-2:]) > r else "symmetric")
+
+
+def _padded(g: np.ndarray, r: int, **how) -> np.ndarray:
+    return np.pad(g, [(0, 0)] * (g.ndim - 2) + [(r, r)] * 2, **how)
 
 
 def convolve3(g: np.ndarray, k) -> np.ndarray:
     p = _around(g, 1)
-    h, w = g.shape
-    return sum(k[j][i] * p[j : j + h, i : i + w] for j in range(3) for i in range(3) if k[j][i])
+    h, w = g.shape[-2:]
+    return sum(k[j][i] * p[..., j : j + h, i : i + w] for j in range(3) for i in range(3) if k[j][i])
 
 
 SOBEL_X = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))
@@ -41,16 +48,16 @@ LAPLACE = ((2, 0, 2), (0, -8, 0), (2, 0, 2))
 def box_mean(g: np.ndarray, size: int) -> np.ndarray:
     """Mean over a size x size window, from a summed-area table."""
     r = size // 2
-    p = np.pad(g, r, mode="reflect") if min(g.shape) > r else np.pad(g, r, mode="edge")
-    s = np.pad(p.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    h, w = g.shape
-    return (s[size : size + h, size : size + w] - s[:h, size : size + w] - s[size : size + h, :w] + s[:h, :w]) / size**2
+    p = _padded(g, r, mode="reflect" if min(g.shape[-2:]) > r else "edge")
+    s = np.pad(p.cumsum(-2).cumsum(-1), [(0, 0)] * (g.ndim - 2) + [(1, 0)] * 2)
+    h, w = g.shape[-2:]
+    return (s[..., size : size + h, size : size + w] - s[..., :h, size : size + w] - s[..., size : size + h, :w] + s[..., :h, :w]) / size**2
 
 
 def half(g: np.ndarray, factor: int = 2) -> np.ndarray:
     """Area-averaged reduction by a whole factor."""
-    h, w = g.shape[0] // factor * factor, g.shape[1] // factor * factor
-    return g[:h, :w].reshape(h // factor, factor, w // factor, factor).mean(axis=(1, 3)) if h and w else g
+    h, w = g.shape[-2] // factor * factor, g.shape[-1] // factor * factor
+    return g[..., :h, :w].reshape(*g.shape[:-2], h // factor, factor, w // factor, factor).mean(axis=(-3, -1)) if h and w else g
 
 
 def resize_area(g: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -76,18 +83,18 @@ def resize_bilinear(g: np.ndarray, height: int, width: int) -> np.ndarray:
         low = np.minimum(at.astype(np.int64), max(n - 2, 0))
         return low, np.minimum(low + 1, n - 1), at - low
 
-    (y0, y1, fy), (x0, x1, fx) = places(g.shape[0], height), places(g.shape[1], width)
-    rows = g[y0] * (1 - fy)[:, None] + g[y1] * fy[:, None]
-    return np.clip(np.rint(rows[:, x0] * (1 - fx) + rows[:, x1] * fx), 0, 255)
+    (y0, y1, fy), (x0, x1, fx) = places(g.shape[-2], height), places(g.shape[-1], width)
+    rows = g[..., y0, :] * (1 - fy)[:, None] + g[..., y1, :] * fy[:, None]
+    return np.clip(np.rint(rows[..., x0] * (1 - fx) + rows[..., x1] * fx), 0, 255)
 
 
 def canny(g: np.ndarray, low: float = 100, high: float = 200) -> np.ndarray:
     """Edges: Sobel gradients (L1), non-maximum suppression, and weak edges that touch strong ones."""
     gx, gy = convolve3(g, SOBEL_X), convolve3(g, SOBEL_Y)
     mag = np.abs(gx) + np.abs(gy)
-    p = np.pad(mag, 1)
-    h, w = mag.shape
-    at = lambda dy, dx: p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+    p = _padded(mag, 1)
+    h, w = mag.shape[-2:]
+    at = lambda dy, dx: p[..., 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
     ratio = np.abs(gy) / (np.abs(gx) + EPS)
     flat, steep = ratio < np.tan(np.pi / 8), ratio > np.tan(3 * np.pi / 8)
     same = (gx * gy) >= 0
@@ -96,8 +103,8 @@ def canny(g: np.ndarray, low: float = 100, high: float = 200) -> np.ndarray:
     thin = (mag > a) & (mag >= b)
     weak, strong = thin & (mag > low), thin & (mag > high)
     while True:
-        q = np.pad(strong, 1)
-        grown = weak & np.any([q[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+        q = _padded(strong, 1)
+        grown = weak & np.any([q[..., 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
         if (grown == strong).all():
             return strong * 255.0
         strong = grown
@@ -105,57 +112,87 @@ def canny(g: np.ndarray, low: float = 100, high: float = 200) -> np.ndarray:
 
 def tiles(a: np.ndarray, n: int = TILES) -> list[np.ndarray]:
     """n x n tiles; the last of each direction takes the rest."""
-    y, x = ([k * (s // n) for k in range(n)] + [s] for s in a.shape[:2])
-    return [a[y[j] : y[j + 1], x[i] : x[i + 1]] for j in range(n) for i in range(n)]
+    y, x = ([k * (s // n) for k in range(n)] + [s] for s in a.shape[-2:])
+    return [a[..., y[j] : y[j + 1], x[i] : x[i + 1]] for j in range(n) for i in range(n)]
 
 
-def gini(x: np.ndarray) -> float:
-    x = np.sort(np.asarray(x, float).ravel())
-    x = x - x[0]
-    n = len(x)
-    return float(((2 * np.arange(1, n + 1) - n - 1) * x).sum() / (n * (x.sum() + EPS)))
+def gini(x: np.ndarray) -> np.ndarray:
+    """Of the values less their minimum, along the last axis."""
+    x = np.sort(np.asarray(x, float), axis=-1)
+    x = x - x[..., :1]
+    n = x.shape[-1]
+    return ((2 * np.arange(1, n + 1) - n - 1) * x).sum(axis=-1) / (n * (x.sum(axis=-1) + EPS))
 
 
 def histogram(g: np.ndarray, bins: int = BINS) -> np.ndarray:
-    return np.bincount((g.ravel() * bins // 256).astype(np.int64), minlength=bins)[:bins].astype(float)
+    """Counts of each image's values 0..255 in bins of one width, along the last axis."""
+    n, size = int(np.prod(g.shape[:-2])), g.shape[-2] * g.shape[-1]
+    at = (g.reshape(n, size) * bins / 256).astype(np.int64) + np.arange(n)[:, None] * bins
+    return np.bincount(at.ravel(), minlength=n * bins).reshape(*g.shape[:-2], bins).astype(float)
 
 
-def entropy(g: np.ndarray) -> float:
-    p = histogram(g)
-    p = p / (p.sum() + EPS)
-    return float(-(p * np.log(p + EPS)).sum())
+def entropy(hist: np.ndarray) -> np.ndarray:
+    """Of histograms along the last axis."""
+    p = hist / (hist.sum(axis=-1, keepdims=True) + EPS)
+    return -(p * np.log(p + EPS)).sum(axis=-1)
 
 
-def features(bgr: np.ndarray) -> tuple:
-    """One frame's feature row, in order of FEATURES."""
+def _mean(a: np.ndarray) -> np.ndarray:
+    """Each image's mean."""
+    return a.reshape(len(a), -1).mean(axis=1)
+
+
+def feature_columns(bgr: np.ndarray) -> list:
+    """The columns of FEATURES of a stack of frames of one size (frame, y, x, channel)."""
     import hashlib
 
-    g = gray(bgr.astype(np.float64))
-    h, w = g.shape
+    planes = np.moveaxis(bgr, -1, 0).astype(np.float64, order="C")
+    g = gray(np.moveaxis(planes, 0, -1))
+    n, h, w = g.shape
     small = half(g)
     mag = np.hypot(convolve3(small, SOBEL_X), convolve3(small, SOBEL_Y))
-    calm = mag <= np.percentile(mag, 20.0)
-    hist = histogram(g)
+    calm = mag <= np.percentile(mag.reshape(n, -1), 20.0, axis=1)[:, None, None]
     mean = box_mean(g, 21)
     flat = np.maximum(0.0, box_mean(g * g, 21) - mean * mean) <= FLAT
     bw, bh = int(max(1, BAND * w)), int(max(1, BAND * h))
-    bands = [g[:, :bw], g[:, w - bw :], g[:bh], g[h - bh :]]
+    bands = [g[..., :bw], g[..., w - bw :], g[:, :bh], g[:, h - bh :]]
     edges = canny(g)
-    thumb = resize_bilinear(g, 32, 32).astype(np.uint8)
-    return (
-        float(g.mean()),
-        *(float(m) for m in bgr.reshape(-1, 3).mean(axis=0)),
-        float(convolve3(g, LAPLACE).var()),
-        float(small[calm].std()),
-        (hist / (hist.sum() + EPS)).tolist(),
-        float((g <= DARK).mean()),
-        float(flat.mean()),
-        *(float((b <= DARK).mean()) for b in bands),
-        gini(np.array([t.mean() for t in tiles(edges)])),
-        float(np.mean([entropy(t) for t in tiles(g)])),
-        float(np.mean([(np.abs(b - b.mean()) < 2.0).mean() for b in bands])),
-        hashlib.md5(thumb.tobytes()).hexdigest(),
-    )
+    thumbs = resize_bilinear(g, 32, 32).astype(np.uint8)
+    by_tile = np.stack([histogram(t) for t in tiles(g)], axis=1)
+    hist = by_tile.sum(axis=1)
+    return [
+        _mean(g),
+        *(_mean(p) for p in planes),
+        convolve3(g, LAPLACE).reshape(n, -1).var(axis=1),
+        np.array([s[c].std() for s, c in zip(small, calm)]),
+        list(hist / (hist.sum(axis=1, keepdims=True) + EPS)),
+        _mean(g <= DARK),
+        _mean(flat),
+        *(_mean(b <= DARK) for b in bands),
+        gini(np.stack([_mean(t) for t in tiles(edges)], axis=1)),
+        entropy(by_tile).mean(axis=1),
+        np.mean([_mean(np.abs(b - _mean(b)[:, None, None]) < 2.0) for b in bands], axis=0),
+        [hashlib.md5(t.tobytes()).hexdigest() for t in thumbs],
+    ]
+
+
+def features(bgr: np.ndarray) -> tuple:
+    """One frame's feature row, in order of FEATURES."""
+    return tuple(c[0].tolist() if isinstance(c[0], (np.ndarray, np.generic)) else c[0] for c in feature_columns(bgr[None]))
+
+
+STACK = 1 << 17  # pixels, so that a stack's arrays stay in a core's cache
+
+
+def stacks(data, height, width, channels):
+    """Rows of images, in order, as stacks of consecutive images of one size: of STACK pixels at most, or
+    one image."""
+    sizes = list(zip(height, width, channels))
+    for (h, w, c), run in groupby(range(len(sizes)), sizes.__getitem__):
+        run = list(run)
+        most = max(1, STACK // max(1, h * w))
+        for k in range(0, len(run), most):
+            yield np.stack([image_of(data[i], h, w, c) for i in run[k : k + most]])
 
 
 def image_of(data: bytes, height: int, width: int, channels: int = 3) -> np.ndarray:
@@ -170,8 +207,10 @@ def frame_features(frames: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [features(image_of(*x)) for x in zip(b["data"], b["height"], b["width"], b["nChannels"])]
-            yield pd.concat([b[["video", "frame_no", "ts"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+            b = b.reset_index(drop=True)
+            parts = [pd.DataFrame(dict(zip(names, feature_columns(s)))) for s in stacks(*(b[c].tolist() for c in ("data", "height", "width", "nChannels")))]
+            rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
+            yield pd.concat([b[["video", "frame_no", "ts"]], rows], axis=1)
 
     return frames.select("video", "frame_no", "ts", "height", "width", "nChannels", "data").mapInPandas(run, f"video string, frame_no long, ts double, {FEATURES}")
 

@@ -18,6 +18,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 HZ = 1 / 3600
 FRAMES = 720
+FRAMES_A_TASK = 8192
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", views: str = ""):
@@ -659,7 +660,10 @@ def _(spark, sf):
     "brightness mean_b low_intensity border_left",
 )
 def _(spark, sf):
-    frames = V.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("video"), F.lit(0).cast("long").alias("frame_no"), F.lit(0.0).alias("ts"), F.lit(32).alias("height"), F.lit(48).alias("width"), F.lit(3).alias("nChannels"), F.unhex(F.repeat(F.lpad(F.hex(F.col("c_custkey") % 256), 2, "0"), 32 * 48 * 3)).alias("data"))
+    # an image is a thousand times its row: rows are dealt before, as one file of them is little for Spark
+    keys = V.table(spark, sf, "customer").select("c_custkey")
+    keys = keys.repartition(max(spark.sparkContext.defaultParallelism, keys.count() // FRAMES_A_TASK + 1))
+    frames = keys.select(F.col("c_custkey").cast("string").alias("video"), F.lit(0).cast("long").alias("frame_no"), F.lit(0.0).alias("ts"), F.lit(32).alias("height"), F.lit(48).alias("width"), F.lit(3).alias("nChannels"), F.unhex(F.repeat(F.lpad(F.hex(F.col("c_custkey") % 256), 2, "0"), 32 * 48 * 3)).alias("data"))
     return kernels.frame_features(frames).select("video", "brightness", "mean_b", "laplacian_variance", "noise_std", "low_intensity", "low_texture", "border_left", "edge_gini", "tile_entropy", "border_constant")
 
 

@@ -137,3 +137,31 @@ def test_bilinear_resize():
     a, b, fy, fx = int(y), int(x), y % 1, x % 1
     want = (big[a, b] * (1 - fx) + big[a, b + 1] * fx) * (1 - fy) + (big[a + 1, b] * (1 - fx) + big[a + 1, b + 1] * fx) * fy
     assert small[10, 20] == np.rint(want) and (kernels.resize_bilinear(np.full((3, 1), 7.0), 32, 32) == 7).all()
+
+
+def test_stacked_frames_keep_their_features(spark):
+    images = [noise(k, 32, 48) for k in range(5)] + [flat(9, 32, 48), noise(5, 97, 61), noise(6, 32, 48), flat(255, 3, 5), flat(0, 1, 1), noise(7, 3, 5)]
+    names = [f.split()[0] for f in kernels.FEATURES.split(", ")]
+    with np.errstate(all="ignore"):
+        want = {k: dict(zip(names, kernels.features(i))) for k, i in enumerate(images)}
+    got = {r.frame_no: r.asDict() for r in kernels.frame_features(frames(spark, images).coalesce(1)).collect()}
+    same = lambda a, b: a == b or (a is None or a != a) and b != b
+    assert got.keys() == want.keys() and all(same(got[k][c], want[k][c]) for k in want for c in names)
+    assert [got[k]["brightness"] for k in (5, 8, 9)] == [9.0, 255.0, 0.0]
+
+
+def test_frames_of_one_size_are_computed_together():
+    images = [noise(k, 32, 48) for k in range(200)] + [noise(0, 400, 400)] * 3 + [noise(1, 32, 48)]
+    data, h, w = zip(*((i.astype(np.uint8).tobytes(), *i.shape[:2]) for i in images))
+    got = list(kernels.stacks(data, h, w, [3] * len(images)))
+    assert len(got) < 10 and all(s.shape[0] == 1 or s[..., 0].size <= kernels.STACK for s in got)
+    assert all((a == b).all() for a, b in zip((f for s in got for f in s), images, strict=True))
+
+
+def test_small_rows_are_dealt_before_images_are_made(spark):
+    from conftest import DATA
+
+    from roadlens.plans import registry
+
+    df = registry.queries()["frame_kernels"](spark, str(DATA / "sf0.001"))
+    assert df.rdd.getNumPartitions() >= 4  # one file, one row group
