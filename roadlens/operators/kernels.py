@@ -49,9 +49,15 @@ def box_mean(g: np.ndarray, size: int) -> np.ndarray:
     """Mean over a size x size window, from a summed-area table."""
     r = size // 2
     p = _padded(g, r, mode="reflect" if min(g.shape[-2:]) > r else "edge")
-    s = np.pad(p.cumsum(-2).cumsum(-1), [(0, 0)] * (g.ndim - 2) + [(1, 0)] * 2)
     h, w = g.shape[-2:]
-    return (s[..., size : size + h, size : size + w] - s[..., :h, size : size + w] - s[..., size : size + h, :w] + s[..., :h, :w]) / size**2
+    s = np.zeros((*p.shape[:-2], p.shape[-2] + 1, p.shape[-1] + 1))
+    np.cumsum(p, axis=-2, out=s[..., 1:, 1:])
+    np.cumsum(s, axis=-1, out=s)
+    out = s[..., size : size + h, size : size + w] - s[..., :h, size : size + w]
+    out -= s[..., size : size + h, :w]
+    out += s[..., :h, :w]
+    out /= size**2
+    return out
 
 
 def half(g: np.ndarray, factor: int = 2) -> np.ndarray:
@@ -93,21 +99,23 @@ def canny(g: np.ndarray, low: float = 100, high: float = 200) -> np.ndarray:
     gx, gy = convolve3(g, SOBEL_X), convolve3(g, SOBEL_Y)
     mag = np.abs(gx) + np.abs(gy)
     p = _padded(mag, 1)
-    h, w = mag.shape[-2:]
-    at = lambda dy, dx: p[..., 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
-    ratio = np.abs(gy) / (np.abs(gx) + EPS)
+    inner, row = (..., slice(1, -1), slice(1, -1)), p.shape[-1]
+    some = np.zeros(p.shape, bool)
+    some[inner] = mag > low
+    at, x, y = np.flatnonzero(some), gx[some[inner]], gy[some[inner]]
+    ratio = np.abs(y) / (np.abs(x) + EPS)
     flat, steep = ratio < np.tan(np.pi / 8), ratio > np.tan(3 * np.pi / 8)
-    same = (gx * gy) >= 0
-    a = np.where(flat, at(0, -1), np.where(steep, at(-1, 0), np.where(same, at(-1, -1), at(-1, 1))))
-    b = np.where(flat, at(0, 1), np.where(steep, at(1, 0), np.where(same, at(1, 1), at(1, -1))))
-    thin = (mag > a) & (mag >= b)
-    weak, strong = thin & (mag > low), thin & (mag > high)
-    while True:
-        q = _padded(strong, 1)
-        grown = weak & np.any([q[..., 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        if (grown == strong).all():
-            return strong * 255.0
-        strong = grown
+    step = np.where(flat, 1, np.where(steep, row, np.where(x * y >= 0, row + 1, row - 1)))
+    p = p.ravel()
+    at = at[(p[at] > p[at - step]) & (p[at] >= p[at + step])]
+    weak, strong = np.zeros(p.shape, bool), np.zeros(p.shape, bool)
+    weak[at] = True
+    new = at[p[at] > high]
+    while len(new):
+        strong[new], weak[new] = True, False
+        near = (new[:, None] + [dy * row + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1)]).ravel()
+        new = np.unique(near[weak[near]])
+    return strong.reshape(some.shape)[inner] * 255.0
 
 
 def tiles(a: np.ndarray, n: int = TILES) -> list[np.ndarray]:

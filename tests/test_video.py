@@ -165,3 +165,13 @@ def test_small_rows_are_dealt_before_images_are_made(spark):
 
     df = registry.queries()["frame_kernels"](spark, str(DATA / "sf0.001"))
     assert df.rdd.getNumPartitions() >= 4  # one file, one row group
+
+
+def test_edges_follow_weak_pixels_from_strong_ones():
+    g = np.zeros((2, 12, 40))
+    g[0, 6:] = np.linspace(20, 80, 40)  # weak at first, strong at the right
+    g[1, 6:] = 30  # weak only
+    edges = kernels.canny(g)
+    assert not edges[1].any() and (edges == np.stack([kernels.canny(i) for i in g])).all()
+    y, x = np.nonzero(edges[0])
+    assert x.max() == 39 and len(x) > 20 and 4 * g[0, 6, x.min()] < 150
